@@ -78,13 +78,14 @@ class Matcher:
         self.head_sizes = tuple(sorted(sizes))
 
     def exact(self, word: str) -> str | None:
+        """The whole-word term that the word is, or the stem that it begins with (a stem needs an ending)."""
         node = self.root
         for c in word:
+            if "stem" in node:
+                return node["stem"]
             node = node.get(c)
             if node is None:
                 return None
-            if "stem" in node:
-                return node["stem"]
         return node.get("whole")
 
     def edited(self, word: str) -> str | None:
@@ -187,12 +188,12 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that hold a stem, or (with a final $) a whole word; summed here before the shuffle."""
+    """Texts that hold a word with this stem and an ending, or (with a final $) this whole word; summed here before the shuffle."""
     for pdf in batches:
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
             own = set(words_of(text))
-            n[int(toxic)].update({w[:k] for w in own for k in STEM if k <= len(w)} | {w + "$" for w in own if len(w) >= 3})
+            n[int(toxic)].update({w[:k] for w in own for k in STEM if k < len(w)} | {w + "$" for w in own if len(w) >= 3})
         both = list(n[0].keys() | n[1].keys())
         yield pd.DataFrame({"form": both, "pos": [n[1][w] for w in both], "neg": [n[0][w] for w in both]})
 
@@ -211,14 +212,14 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
     ranked, taken, out = sorted(pos, key=lambda w: (len(w.rstrip("$")), w)), set(), []
     for w in ranked:
         bare = w.rstrip("$")
-        if any(bare[:k] in taken for k in STEM if k <= len(bare)) or w in taken:
+        if any(bare[:k] in taken for k in STEM if k < len(bare) + (w == bare)) or w in taken:
             continue
         grown = w
         while not grown.endswith("$"):
-            longer = [x for x in pos if x.startswith(grown) and len(x) == len(grown) + 1 and pos[x] >= 0.98 * pos[w]]
+            longer = [x for x in pos if x.startswith(grown) and (x.endswith("$") or len(x) == len(grown) + 1) and pos[x] >= 0.98 * pos[w]]
             if not longer:
                 break
-            grown = longer[0]
+            grown = max(longer, key=lambda x: (x.endswith("$"), pos[x], x))
         taken |= {w, grown}
         out.append((grown.rstrip("$"), grown.endswith("$"), pos[w]))
     out.sort(key=lambda x: (-x[2], x[0]))
