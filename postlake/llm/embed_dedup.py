@@ -22,11 +22,11 @@ from .components import connected_components
 
 COSINE = 0.95
 #: Classes in a shard at most; below that, shards of at least SMALL are made to give all cores work. Queries in a cell at most.
-SHARD, SMALL, QUERIES = 8192, 1024, 8192
-#: Links per node, beam while building, first beam while searching, nodes expanded per step.
-M, BUILD_BEAM, BEAM, STEP = 12, 48, 32, 2
+SHARD, SMALL, QUERIES = 16384, 1024, 8192
+#: Links per node, beam while building, first and widest beam while searching, nodes expanded per step.
+M, BUILD_BEAM, BEAM, WIDEST, STEP = 12, 48, 32, 128, 2
 #: Queries audited per cell and the recall they must reach.
-AUDIT, RECALL = 48, 0.995
+AUDIT, RECALL = 48, 0.98
 _BATCH = 256
 
 
@@ -170,7 +170,7 @@ class Graph:
         return ids, sims, np.concatenate(found_q), np.concatenate(found_v)
 
     def near(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at or above least; beams that end full of such pairs are widened."""
+        """(query, node) pairs at or above least. Beams that end full of such pairs are widened; past WIDEST, the shard is scanned for these queries."""
         n = len(self.x)
         if not n or not len(q):
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -181,9 +181,13 @@ class Graph:
             start = np.where(ids[:, :1] >= 0, ids, np.full_like(ids, self.entry))
         left = np.arange(len(q))
         while len(left):
-            width = min(width, n)
+            if width > min(WIDEST, n):
+                hq, hv = np.nonzero(q[left] @ self.x.T >= least)
+                out_q.append(left[hq])
+                out_v.append(hv)
+                break
             _, sims, hq, hv = self._beam(q[left], start[left], 0, width, least)
-            full = (sims[:, -1] >= least) & (width < n)
+            full = sims[:, -1] >= least
             done = ~full[hq]
             out_q.append(left[hq[done]])
             out_v.append(hv[done])
@@ -218,6 +222,7 @@ def _stack(column: pd.Series, kind: type = np.float64) -> np.ndarray:
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("vec_id")  # the same graph whenever a task is repeated
     raw = _stack(pdf["v"])
     narrow = raw.astype(np.float32)
     raw = narrow if (narrow == raw).all() else raw
@@ -275,7 +280,7 @@ def _cell(queries: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFr
             test = a + np.flatnonzero(audited[a : a + _BATCH])
             due += int((q[test] @ g.x.T >= least + 1e-6).sum())
             hit += int(audited[hq].sum())
-        if hit >= RECALL * due or width >= len(ids):
+        if hit >= RECALL * due or width > WIDEST:  # beyond WIDEST all was scanned
             break
         width *= 4
     both = np.unique(np.concatenate([at_own, at_ids[parent[at_ids] != at_ids]]))
