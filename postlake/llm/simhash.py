@@ -95,10 +95,11 @@ def links(nodes: DataFrame) -> DataFrame:
     Small keys give every such pair; large keys give a star for each set that agrees on all but two bits, which joins
     the same components.
     """
-    keyed = _keys(nodes)
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    sized = _keys(nodes).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # Few keys are shared; what is left after this one large shuffle is small.
+    sized = materialize(sized, "shared-keys")
     small = sized.where(F.col("n") <= PAIR_LIMIT)
-    x, y = small.alias("x"), small.alias("y")
+    x, y = small.alias("x"), small.alias("y")  # one narrow table, joined with itself on the key
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     pairs = x.join(
         y,
