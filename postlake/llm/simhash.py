@@ -74,18 +74,20 @@ def _segment(fp: Column, s: int) -> Column:
     return _low(fp) if s == 0 else F.shiftrightunsigned(fp, 32)
 
 
+def _segment_keys(s: int) -> Column:
+    """Array of (key, s, i, bit) of one segment: the exact key (i = 32, bit = 2) and its one-bit variants."""
+    seg = _segment(F.col("fp"), s)
+
+    def entry(value: Column, i: int, bit: Column) -> Column:
+        return F.struct((value + F.lit((i * 2 + s) << 32)).alias("key"), F.lit(s).alias("s"), F.lit(i).alias("i"), bit.alias("bit"))
+
+    cut = [entry(seg.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))), i, F.shiftright(seg, i).bitwiseAND(F.lit(1)).cast("int")) for i in range(32)]
+    return F.array(entry(seg, 32, F.lit(2)), *cut)
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(node, fp, key, s, i, bit): the exact key (i = 32, bit = 2) and one-bit variants of both segments."""
-    out = []
-    for s in (0, 1):
-        seg = _segment(F.col("fp"), s)
-        plain = F.struct(seg.alias("m"), F.lit(32).alias("i"), F.lit(2).alias("bit"))
-        cut = [
-            F.struct(seg.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).alias("m"), F.lit(i).alias("i"), F.shiftright(seg, i).bitwiseAND(F.lit(1)).cast("int").alias("bit"))
-            for i in range(32)
-        ]
-        out.append(F.transform(F.array(plain, *cut), lambda x, s=s: F.struct(F.lit(s).alias("s"), x["i"].alias("i"), x["bit"].alias("bit"), (x["m"] + F.shiftleft((x["i"] * 2 + s).cast("long"), 32)).alias("key"))))
-    v = nodes.select("node", "fp", F.explode(F.concat(*out)).alias("k"))
+    """(node, fp, key, s, i, bit) of both segments."""
+    v = nodes.select("node", "fp", F.explode(F.concat(_segment_keys(0), _segment_keys(1))).alias("k"))
     return v.select("node", "fp", "k.key", "k.s", "k.i", "k.bit")
 
 
