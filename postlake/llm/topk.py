@@ -23,8 +23,8 @@ from .common import materialize
 
 K = 20
 SCALE = 64
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERY_BLOCK = 8192, 2048
+#: Rows of a candidate block and of a query block at most; smaller blocks are made to give all cores work, but not below SMALL.
+BLOCK, QUERY_BLOCK, SMALL = 8192, 2048, 512
 #: Neighbouring length buckets differ by this factor.
 RATIO = 1.05
 #: Coordinates that prune, and the local threshold from which they do.
@@ -166,8 +166,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     if not sizes or not n_query:
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     spark, first, table = own.sparkSession, 0, []
+    cores = spark.sparkContext.defaultParallelism
+    block = min(BLOCK, max(SMALL, math.ceil(sum(r["n"] for r in sizes) / cores)))
     for r in sizes:
-        parts = math.ceil(r["n"] / BLOCK)
+        parts = math.ceil(r["n"] / block)
         table.append((r["bucket"], first, parts, r["longest"]))
         first += parts
     lay = F.broadcast(spark.createDataFrame(table, "bucket int, first int, parts int, longest double"))
