@@ -99,8 +99,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     ok = base.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held_out_fold))
     top = ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ok.select("doc_id", "lang").join(F.broadcast(top.select("lang")), "lang", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_PER_LANGUAGE)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # A language's rows are thinned by the same hash before they meet in one task, to a few times what is taken.
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = F.col("h") <= F.lit(4.0 * SAMPLE_PER_LANGUAGE * (1 << 40)) / F.col("count")
+    ids = ok.select("doc_id", "lang", h.alias("h")).join(F.broadcast(top), "lang").where(near).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_PER_LANGUAGE)
     ids = materialize(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct(), "lang-sample")  # bounded
     sample = ok.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).where("length(text) > 0")
     rows = sample.dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").mapInPandas(_slot_rows, "doc_id long, lang string, slots binary").collect()
