@@ -235,7 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     y = y.where(crc_bucket("doc_id", folds) != held_out_fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = [y.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for c in (0, 1)]
+    y = materialize(y.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))), "toxic-labels")
+    size = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
+    # Thinned by the same hash first, so that the choice is among a few times what is taken, whatever the size of a class.
+    near = {c: 4.0 * SAMPLE_PER_CLASS * (1 << 40) / max(size.get(c, 0), 1) for c in (0, 1)}
+    ids = [y.where((F.col("toxic") == c) & (F.col("h") <= near[c])).orderBy("h", "doc_id").limit(SAMPLE_PER_CLASS).drop("h") for c in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     sample = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").dropDuplicates(["doc_id"])
