@@ -43,6 +43,14 @@ def failures(health_rows: DataFrame) -> DataFrame:
     return health_rows.where((F.col("status") != "ok") & ~((F.col("status") == "skipped") & ~F.col("enabled").cast("boolean")))
 
 
+def expected_companies(companies: DataFrame) -> int:
+    """How many sources a full run covers; ValueError if none is enabled."""
+    n = companies.where("enabled").count()
+    if not n:
+        raise ValueError("no company is enabled")
+    return n
+
+
 def session_local(ts: Column) -> Column:
     """Local wall time moved so that sessions start at midnight and noon; daylight saving follows the zone."""
     return F.from_utc_timestamp(ts, ZONE) - F.expr(SESSION_START)
@@ -65,10 +73,6 @@ def session_end(ts: Column) -> Column:
     return F.to_utc_timestamp(half + F.expr(SESSION_START), ZONE)
 
 
-def full_success(expected: Column) -> Column:
-    return (F.col("status") == "success") & F.col("finished_at").isNotNull() & (F.col("companies_total") == expected) & (F.col("companies_ok") == expected) & (F.coalesce("companies_failed", F.lit(0)) == 0)
-
-
 def decide(checks: DataFrame, runs: DataFrame, force: bool = False) -> DataFrame:
     """For each check (now, expected): window_key, target_at, next_target_at, window_complete, attempts, late_minutes, retry_at, should_run, reason.
 

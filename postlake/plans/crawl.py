@@ -91,13 +91,13 @@ def crawl(spark: SparkSession, companies: DataFrame, payloads: DataFrame, store:
         done = scan(spark, planned, payloads, jobs.select("company_id", "source_url", "posted_at", "last_seen_at"), rules, at)
         off = companies.where("not enabled") if not ids else companies.limit(0)
         idle = off.select(F.col("id").alias("company_id"), F.col("connector_type").alias("source"), F.lit(0).cast("long").alias("fetched_jobs"), F.lit(0).cast("long").alias("requests"), F.lit("").alias("error"), F.when(F.col("connector_type") == "workday", SKIPPED["workday"]).otherwise(SKIPPED[""]).alias("warning"), F.lit(True).alias("skipped"), F.lit(True).alias("cursor_complete"))
-        results = ledger.source_status(done.results)
+        results = store.stage(run_id, "results", ledger.source_status(done.results))
         about = planned.select(F.col("id").alias("company_id"), "confidence", "score", "summary", "default_country", "mode", "since")
         good = results.where("status in ('ok', 'degraded')").select("company_id")
         seq = F.struct("company_id", "source", "source_job_id", "source_url", "title")
         postings = done.postings.join(good, "company_id", "left_semi").join(F.broadcast(about), "company_id").withColumn("seq", seq)
         judged = history.keyed(evaluate(postings, rules, at))
-        decided = history.decide_events(judged, jobs, receipts, history.delivered(sightings, runs), rules, at)
+        decided = store.stage(run_id, "decided", history.decide_events(judged, jobs, receipts, history.delivered(sightings, runs), rules, at))
 
         stats = ledger.run_statistics(results).withColumn("status", ledger.run_status(F.col("companies_ok"), F.col("companies_degraded"), F.col("companies_failed"))).first().asDict()
         keep = stats["status"] != "failed"
@@ -109,12 +109,14 @@ def crawl(spark: SparkSession, companies: DataFrame, payloads: DataFrame, store:
         run_row = spark.createDataFrame(row, store.read("runs").schema)
         metadata = {"run_id": run_id, "mode": mode, "status": stats["status"], "started_at": now.isoformat(), "profile_fingerprint": rules.fingerprint, "companies_enabled": row[0][5], **{k: stats[k] for k in ("companies_ok", "companies_failed", "companies_degraded")}, "fetched_jobs": row[0][8], "accepted_jobs": totals["accepted"], "emitted_jobs": row[0][10]}
         metadata["profile_backfill_companies"] = planned.where("backfill").count()
+        rows = reports.report_rows(decided, at)
+        rejected = history.top_rejections(rows.where("not emit and rejection_reasons != ''"), rules.max_rejections if rules.include_rejections else 0)
+        sick = ledger.health(results.unionByName(ledger.source_status(idle)), companies)
+        reports.write_tables(f"{store.root}/reports/{run_id}", rows.where(F.col("emit") & F.lit(keep)), rejected, sick)
         folder = None
         if output is not None:
-            rows = reports.report_rows(decided, at)
-            rejected = history.top_rejections(rows.where("not emit and rejection_reasons != ''"), rules.max_rejections if rules.include_rejections else 0)
-            sick = ledger.health(ledger.source_status(done.results.unionByName(idle)), companies).orderBy("company")
-            folder = reports.export_run(output, metadata, [r.asDict() for r in reports.matches(rows).collect()] if keep else [], [r.asDict() for r in rejected.orderBy("seq", "job_key").collect()], [r.asDict() for r in sick.collect()], str(profile.get("reporting", {}).get("html_title", "Verified job matches")))
+            top = reports.READABLE_ROWS
+            folder = reports.export_run(output, metadata, [r.asDict() for r in reports.matches(rows).limit(top).collect()] if keep else [], [r.asDict() for r in rejected.orderBy("seq", "job_key").limit(top).collect()], [r.asDict() for r in sick.orderBy("company").limit(top).collect()], str(profile.get("reporting", {}).get("html_title", "Verified job matches")))
         tables = {"runs": history.upsert(runs, run_row, ["run_id"]), "company_runs": history.upsert(company_runs, source_rows, ["run_id", "company_id"]), "sightings": sightings.unionByName(seen), "jobs": history.merge_jobs(jobs, decided, at, promote=keep)}
         if keep:
             whole = results.where("status = 'ok'").select("company_id", "source", F.lit(rules.fingerprint).alias("profile_fingerprint"), at.alias("applied_at"))

@@ -48,6 +48,17 @@ def matches(rows: DataFrame) -> DataFrame:
     return rows.where("emit").orderBy(priority_rank(F.col("apply_priority")), F.desc("match_score"), "company", "job_key")
 
 
+#: A readable report holds so many rows of each kind at most, best first; the tables beside it hold all.
+READABLE_ROWS = 10_000
+
+
+def write_tables(path: str, matched: DataFrame, rejected: DataFrame, health: DataFrame) -> None:
+    """All rows of a run's three reports as tables, written by the executors."""
+    matched.select(*MATCH_COLUMNS, "job_key").write.parquet(f"{path}/matches")
+    rejected.select(*REJECTION_COLUMNS, "job_key").write.parquet(f"{path}/rejections")
+    health.select(*HEALTH_COLUMNS).write.parquet(f"{path}/health")
+
+
 def to_csv(rows: Iterable[dict[str, Any]], columns: Sequence[str]) -> str:
     out = io.StringIO()
     w = csv.DictWriter(out, columns, extrasaction="ignore", lineterminator="\r\n")

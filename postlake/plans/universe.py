@@ -113,3 +113,10 @@ def build(a: DataFrame, b: DataFrame, sitemaps: DataFrame | None = None, overrid
 
 def audit(companies: DataFrame) -> DataFrame:
     return companies.withColumn("fit_tags", F.array_join("fit_tags", "; ")).select(*AUDIT_COLUMNS)
+
+
+def write(companies: DataFrame, path: str) -> None:
+    """The company table as JSON lines and its audit as CSV, each one file in order (a universe is some thousands of rows)."""
+    ordered = companies.orderBy(F.desc("score"), "name")
+    ordered.coalesce(1).write.mode("overwrite").json(f"{path}/companies")
+    audit(ordered).coalesce(1).write.mode("overwrite").csv(f"{path}/audit", header=True)

@@ -7,6 +7,7 @@ cases through an operator, and their SQL states the rows that the rules ask for.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
 from typing import Any
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from .functions import experience, html, text
 from .operators import evidence, history, ledger, ranking, robots
 from .operators.location import location_status
-from .plans import universe
+from .plans import reports, universe
 from .rules import load_rules
-from .sources import boards, pages  # noqa: F401  register the normalizers
+from .sources import boards, files, pages  # noqa: F401  register the normalizers
 from .sources.base import PAYLOAD, Request, normalizer, within
+from .streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -683,6 +685,128 @@ def q_countries(df: DataFrame) -> DataFrame:
     return df.select("id", F.array_join(html.explicit_countries(F.col("raw")), ",").alias("countries"))
 
 
+TITLES_SEEN = [(1, "Software Engineer", True), (2, "Engineering Manager, Platform", False), (3, "Chef", False), (4, "Data Engineer, Streaming Telemetry", True), (5, "Principal Associate, Cloud", True), (6, "Staff Software Engineer", False), (7, "", False), (8, None, None)]
+
+
+@literal("id int, title string", TITLES_SEEN, 2, "id INTEGER, likely BOOLEAN")
+def q_likely_title(df: DataFrame) -> DataFrame:
+    """F1."""
+    return df.select("id", ranking.likely_detail(F.col("title"), load_rules({})).alias("likely"))
+
+
+LINKS = [(1, "https://h.example/a?b=c", "https://h.example/a?b=c", "https://h.example/a?b=c"), (2, "javascript:alert(1)", "", "javascript:alert(1)"), (3, "http://u:p@h.example/", "", "https://u:p@h.example/"), (4, "http://h.example", "http://h.example", "https://h.example"), (5, None, "", None), (6, "ftp://h.example", "", "ftp://h.example")]
+
+
+@literal("id int, url string", LINKS, 2, "id INTEGER, safe VARCHAR, https VARCHAR")
+def q_safe_url(df: DataFrame) -> DataFrame:
+    """X19, X23."""
+    return df.select("id", text.safe_url(F.col("url")).alias("safe"), text.https_url(F.col("url")).alias("https"))
+
+
+MARKED = [(1, "a [b](c)\n*d*", "a \\[b\\]\\(c\\) \\*d\\*"), (2, None, ""), (3, "x" * 300, "x" * 199 + "…"), (4, "plain text", "plain text")]
+
+
+@literal("id int, value string", MARKED, 2, "id INTEGER, line VARCHAR")
+def q_markdown_text(df: DataFrame) -> DataFrame:
+    """X19."""
+    return df.select("id", text.markdown_text(F.col("value")).alias("line"))
+
+
+TENANTS = [(1, "https://acme.wd5.myworkdayjobs.com/en-US/Careers", "acme.wd5.myworkdayjobs.com", "acme", "Careers"), (2, "acme:wd1:Jobs", "acme.wd1.myworkdayjobs.com", "acme", "Jobs"), (3, "acme", None, None, None), (4, "", None, None, None)]
+
+
+@literal("id int, value string", TENANTS, 2, "id INTEGER, host VARCHAR, tenant VARCHAR, site VARCHAR")
+def q_tenant_parts(df: DataFrame) -> DataFrame:
+    """X13."""
+    p = text.tenant_parts(F.col("value"))
+    return df.select("id", p["host"].alias("host"), p["tenant"].alias("tenant"), p["site"].alias("site"))
+
+
+@query("SELECT event_id, timezone('America/Los_Angeles', timezone('UTC', ts)) AS local FROM events")
+def q_local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X20."""
+    return table(spark, sf_dir, "events").select("event_id", text.local_time(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("local"))
+
+
+@query("SELECT user_id, sha256('[' || string_agg('\"' || event_type || '\"', ',' ORDER BY ts, event_id) || ']') AS print FROM events GROUP BY user_id")
+def q_page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's paths, in order, as one digest."""
+    e = table(spark, sf_dir, "events")
+    paths = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    return e.groupBy("user_id").agg(paths.alias("paths")).select("user_id", text.page_fingerprint(F.col("paths")).alias("print"))
+
+
+@query("SELECT max(o_orderdate) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS usable, max(o_orderdate) FILTER (WHERE o_orderstatus = 'F') AS success FROM orders")
+def q_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, O5."""
+    runs = _orders(spark, sf_dir)[1]
+    a, b = history.latest_run(runs), history.latest_run(runs, ("success",))
+    both = a.select(F.lit(1).alias("k"), F.col("started_at").alias("usable")).join(b.select(F.lit(1).alias("k"), F.col("started_at").alias("success")), "k")
+    return both.drop("k")
+
+
+@query("SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_orderdate AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
+def q_run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 500 runs."""
+    return files.run_history(_orders(spark, sf_dir)[1])
+
+
+HEALTH = [("a", True, "ok"), ("b", False, "skipped"), ("c", True, "error"), ("d", True, "skipped"), ("e", True, "degraded")]
+
+
+@query(values("company VARCHAR, status VARCHAR", [("c", "error"), ("d", "skipped"), ("e", "degraded")]))
+def q_health_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13."""
+    return ledger.failures(spark.createDataFrame(HEALTH, "company string, enabled boolean, status string")).select("company", "status")
+
+
+FETCHED = [("u", "e1", D(2024, 1, 1), 200, "one"), ("u", None, D(2024, 1, 2), 304, ""), ("v", "e2", D(2024, 1, 1), 200, "two"), ("v", "e3", D(2024, 1, 3), 200, "three"), ("w", None, D(2024, 1, 1), 404, "gone")]
+
+
+@query(values("url VARCHAR, etag VARCHAR, status INTEGER, body VARCHAR", [("u", "e1", 200, "one"), ("v", "e3", 200, "three"), ("w", None, 404, "gone")]))
+def q_newest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest response per URL, a 304 keeping the body before it."""
+    df = spark.createDataFrame(FETCHED, "url string, etag string, fetched_at timestamp, status int, body string").withColumn("last_modified", F.lit(None).cast("string"))
+    return files.newest_pages(df).select("url", "etag", "status", F.col("body").cast("string").alias("body"))
+
+
+LOG = [(0, "ERROR one"), (1, "fine"), (2, "fatal: two"), (3, "fine")]
+
+
+@query(values("last_error VARCHAR", [("fatal: two",)]))
+def q_last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14."""
+    return reports.last_error(spark.createDataFrame(LOG, "lineno int, value string"))
+
+
+BATCH_A = [("Acme", "manual", "", "High", "120 Certified H-1B LCA; 30 had software", "b;a"), ("Solo", "greenhouse", "https://boards.example/solo", "", "", "")]
+BATCH_B = [("ACME", "lever", "acme", "low", "9", "c;a"), ("Beta", "workday", "t:wd1:site", "medium high", "5", "")]
+
+
+@query(values("id VARCHAR, enabled BOOLEAN, connector_type VARCHAR, batch VARCHAR, score DOUBLE, certified INTEGER, fit_tags VARCHAR, monitor_status VARCHAR", [
+    ("acme", True, "lever", "A+B", 0.82, 120, "a,b,c", "enabled-documented-public-api"), ("beta", False, "workday", "B", 0.72, 5, "", "disabled-pending-tenant-review"), ("solo", False, "greenhouse", "A", 0.3, None, "", "disabled-by-user")]))
+def q_universe_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two research batches to one company table."""
+    a = spark.createDataFrame(BATCH_A, "canonical_name string, ats_type string, ats_identifier_or_base_url string, sponsorship_confidence string, evidence_summary string, role_fit_tags string")
+    b = spark.createDataFrame(BATCH_B, "canonical_name string, ats_type string, `ats_identifier/base_url` string, sponsorship_confidence string, fy2025_q4_certified_records string, role_fit_tags string")
+    out = universe.build(a, b, excluded=["Solo"])
+    return out.select("id", "enabled", "connector_type", "batch", "score", "certified", F.array_join("fit_tags", ",").alias("fit_tags"), "monitor_status")
+
+
+@query(
+    """WITH w AS (SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS job_key, ts AS posted_at, max(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM events)
+SELECT *, CASE WHEN watermark IS NULL THEN 'new' WHEN posted_at > watermark + INTERVAL 12 HOUR THEN 'reposted' ELSE 'seen' END AS event FROM w"""
+)
+def q_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same classification as a stream with a watermark per key as state, read until the input is used up."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/streams/{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    keyed = stream.select(F.concat_ws("|", "user_id", "event_type").alias("job_key"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_id").alias("seq"))
+    streams.to_table(streams.classify(keyed), f"{base}/checkpoint", f"{base}/table")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{base}/table").select("job_key", ntz("posted_at"), ntz("watermark"), "event")
+
+
 # --- feeds --------------------------------------------------------------------------------------------------------------------
 
 _J = json.dumps

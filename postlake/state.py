@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schema import STATE
 
@@ -67,6 +69,31 @@ class StateStore:
             versions[name] = version
         self._put("CURRENT", json.dumps({"run_id": run_id, "tables": versions}, sort_keys=True))
 
+    def stage(self, run_id: str, name: str, df: DataFrame) -> DataFrame:
+        """Write an intermediate table of a run beside the state and read it back: computed once, and safe from lost executors."""
+        path = f"{self.root}/runs-staged/{run_id}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bootstrap(self, source: str, now: datetime, max_age: timedelta = timedelta(hours=72)) -> str:
+        """Take over a backup into an empty store if its newest run is recent: "restored", "present", "missing", "damaged" or "stale".
+
+        A stale or damaged backup leaves the store empty; state that is there is never touched.
+        """
+        if self._text("CURRENT"):
+            return "present"
+        other = StateStore(self.spark, source)
+        if not other._text("MANIFEST"):
+            return "missing"
+        try:
+            newest = other.read("runs").agg({"started_at": "max"}).first()[0]
+            if newest is None or now - newest > max_age:
+                return "stale"
+            self.restore(source)
+        except (OSError, ValueError):
+            return "damaged"
+        return "restored"
+
     def lock(self) -> Lock:
         return Lock(self)
 
@@ -105,6 +132,16 @@ class StateStore:
         self._put("CURRENT", json.dumps({"run_id": body["run_id"], "tables": body["tables"]}, sort_keys=True))
 
 
+def newest_backup(backups: DataFrame, reports: DataFrame) -> DataFrame:
+    """backups (run_id, at, path) that may be restored: the newest, unless a report (run_id, at) newer than it has no backup."""
+    newest = backups.agg(F.max("at").alias("newest"))
+    lost = reports.join(backups.select("run_id"), "run_id", "left_anti").agg(F.max("at").alias("lost"))
+    b, r = newest.first()["newest"], lost.first()["lost"]
+    if b is None or r is not None and r > b:
+        return backups.limit(0)
+    return backups.where(F.col("at") == F.lit(b)).orderBy("run_id").limit(1)
+
+
 class Lock:
     """One run at a time: a file that must not exist yet."""
 
