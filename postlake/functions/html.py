@@ -165,5 +165,10 @@ def jsonld_location(posting: Column) -> Column:
     return _arrow(place_of, "string")(posting)
 
 
+#: Every country key holds these letters in this order with no letter between them.
+COUNTRY_LETTERS = "(?i)" + "[^a-z]*".join("country")
+
+
 def explicit_countries(raw: Column) -> Column:
-    return _arrow(countries_of, "array<string>")(raw)
+    """Countries that a payload states; payloads without such a key are not parsed."""
+    return F.coalesce(_arrow(countries_of, "array<string>")(F.when(raw.rlike(COUNTRY_LETTERS), raw)), F.array().cast("array<string>"))

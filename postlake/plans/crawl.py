@@ -96,6 +96,7 @@ def crawl(spark: SparkSession, companies: DataFrame, payloads: DataFrame, store:
         good = results.where("status in ('ok', 'degraded')").select("company_id")
         seq = F.struct("company_id", "source", "source_job_id", "source_url", "title")
         postings = done.postings.join(good, "company_id", "left_semi").join(F.broadcast(about), "company_id").withColumn("seq", seq)
+        postings = store.stage(run_id, "postings", postings)  # both branches of the evaluation read it
         judged = history.keyed(evaluate(postings, rules, at))
         decided = store.stage(run_id, "decided", history.decide_events(judged, jobs, receipts, history.delivered(sightings, runs), rules, at))
 

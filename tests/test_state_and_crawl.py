@@ -89,6 +89,40 @@ def test_lock_backup_and_restore(spark, tmp_path):
         other.restore(f"{tmp_path}/backup")
 
 
+def test_bootstrap_takes_recent_checked_backups_only(spark, tmp_path):
+    store = StateStore(spark, f"{tmp_path}/state")
+    crawl(spark, table(spark, "acme"), board(spark, ("acme", 1, "2024-01-19")), store, PROFILE, START)
+    store.backup(f"{tmp_path}/backup")
+    fresh = lambda name: StateStore(spark, f"{tmp_path}/{name}")
+    assert fresh("a").bootstrap(f"{tmp_path}/none", START) == "missing"
+    assert fresh("a").bootstrap(f"{tmp_path}/backup", START + timedelta(hours=73)) == "stale"
+    assert fresh("a").manifest()["tables"] == {}
+    assert fresh("a").bootstrap(f"{tmp_path}/backup", START + timedelta(hours=71)) == "restored"
+    assert fresh("a").bootstrap(f"{tmp_path}/backup", START) == "present"
+    manifest = tmp_path / "backup/MANIFEST"
+    manifest.write_text(manifest.read_text().replace('"jobs": 1', '"jobs": 2'))
+    (tmp_path / "backup/.MANIFEST.crc").unlink(missing_ok=True)
+    assert fresh("b").bootstrap(f"{tmp_path}/backup", START) == "damaged"
+
+
+def test_a_lost_backup_refuses_a_rollback(spark):
+    from postlake.state import newest_backup
+
+    backups = spark.createDataFrame([("r1", START, "p1"), ("r2", START + timedelta(1), "p2")], "run_id string, at timestamp, path string")
+    reports = lambda *rows: spark.createDataFrame(list(rows), "run_id string, at timestamp")
+    assert newest_backup(backups, reports(("r2", START + timedelta(1)))).first()["path"] == "p2"
+    assert newest_backup(backups, reports(("r3", START + timedelta(2)))).count() == 0
+    assert newest_backup(backups.limit(0), reports()).count() == 0
+
+
+def test_all_report_rows_are_written_as_tables(spark, tmp_path):
+    store = StateStore(spark, f"{tmp_path}/state")
+    run = crawl(spark, table(spark, "acme"), board(spark, ("acme", 1, "2024-01-19"), ("acme", 2, "2023-01-19")), store, PROFILE, START)
+    base = f"{tmp_path}/state/reports/{run.metadata['run_id']}"
+    assert spark.read.parquet(f"{base}/matches").columns == [*MATCH_COLUMNS, "job_key"]
+    assert [spark.read.parquet(f"{base}/{t}").count() for t in ("matches", "rejections", "health")] == [1, 1, 1]
+
+
 def test_unknown_company_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         crawl(spark, table(spark, "acme"), board(spark, ("acme", 1, "2024-01-19")), StateStore(spark, f"{tmp_path}/s"), PROFILE, START, ids=["nobody"])
