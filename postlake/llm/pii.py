@@ -32,11 +32,16 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 LOOSE = {
     "email": re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]|\{at\}|＠| at ) ?[A-Za-z0-9-]{2,64}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]{2,24}){1,4}(?!\w)", re.I),
     "ip": re.compile(r"(?<![0-9.:A-Za-z])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)){1}[0-9]{1,3}(?:[\[(]?\.[\])]?[0-9]{1,3}){2}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9.:A-Za-z])"),
-    "card": re.compile(r"(?<![0-9.+-])[0-9]{4}(?:[./_  ][0-9]{4,6}){2}[./_  ][0-9]{3,5}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.=@/_-])(?:00[1-9][0-9]{0,2}[\x20.-]?|0|\()[0-9(][0-9)\x20./-]{6,18}[0-9](?![0-9A-Za-z@])"),
+    "card": re.compile(r"(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}(?:([./_ \x20-])[0-9]{4,6})(?:\1[0-9]{4,6})\1[0-9]{3,5})(?![0-9A-Za-z])"),
+    "phone": re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9-])|(?<![0-9A-Za-z+.=@/_-])(?:00[1-9][0-9]{0,2}[\x20.-]?|0|\()[0-9(][0-9)\x20./-]{6,18}[0-9](?![0-9A-Za-z@])"),
 }
 #: A candidate can stand only where the text holds one of these (so that others are not searched).
-_HINTS = {"email": re.compile(r"at[)\]}]|＠| at [A-Za-z0-9-]+(?: dot |\.[A-Za-z])", re.I), "ip": re.compile(r"\[\.\]|\(\.\)|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": re.compile(r"[0-9][./_  ][0-9]{4}"), "phone": re.compile(r"[0-9][0-9)\x20./-]{6,}[0-9]")}
+_HINTS = {
+    "email": re.compile(r"at[)\]}]|＠| at [A-Za-z0-9-]+(?: dot |\.[A-Za-z])", re.I),
+    "ip": re.compile(r"\[\.\]|\(\.\)|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    "card": re.compile(r"[0-9]{13}|[0-9]{4}[./_ \x20-][0-9]{4}"),
+    "phone": re.compile(r"[0-9][0-9)\x20./-]{6,}[0-9]"),
+}
 # Gazetteers of mail words, top-level domains and context words in four languages.
 TOP_LEVEL = frozenset("com org net edu gov io co de fr es uk eu info biz".split())
 CONTEXT = {
@@ -115,10 +120,10 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     elif kind == "card":
         pattern = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
         gazetteer = 1 if digits[:1] in "3456" else -1
-        shape = 1 if len(set(_NOT_DIGIT.findall(found))) == 1 else -1
+        shape = 1 if len(set(_NOT_DIGIT.findall(found))) <= 1 else -1
     else:
         pattern = 1 if 9 <= len(digits) <= 15 and not re.search(r"[0-9]{10,}", found) else -1
-        gazetteer = 1 if found.startswith(("00", "(0")) else 0
+        gazetteer = 1 if found.startswith(("+", "00", "(0")) else 0
         shape = 1 if re.search(r"[\x20./()-]", found) else -1
     context = 1 if not CONTEXT[kind].isdisjoint(near) else 0
     against = -1 if not AGAINST.isdisjoint(near) else 0

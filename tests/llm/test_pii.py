@@ -75,3 +75,14 @@ def test_odd_rows(odd, clashing, empty):
     assert len(rows) == 10 and all(r["spans"] == "" and r["base_sha256"] == none for r in rows)
     assert pii.find(clashing).count() == 10 and pii.redact(clashing).count() == 10
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def test_numbers_that_spoil_each_other_for_the_base_patterns(spark):
+    """A phone and a card side by side make one base match with too many digits; the method finds both."""
+    text = "reach +1 (269) 555-3296 4524132264652876 and on"
+    assert pii.base_spans(text) == []
+    hexed = 'token = "a3a1b97e4524132264652876b69b"'
+    df = spark.createDataFrame([(1, text), (2, hexed), (3, None)], "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(df).collect()}
+    assert spans[1] == [("card", 24, 40), ("phone", 6, 23)]
+    assert spans[3] == []
