@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from postlake.ship import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,6 +15,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
 
 
