@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,19 +43,24 @@ class Encoder:
     """Whole texts to ids of the byte-level vocabulary."""
 
     def __init__(self, tokenizer: str, ranks: str | None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.tokenizer, self.fast = tokenizer, None
         if ranks:
             import public_tokenizers
+            import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """Loaded where a text needs it: both readers' tables at once would be a good part of a worker's memory."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.tokenizer)
+        t.encode_special_tokens = True
+        return t
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
