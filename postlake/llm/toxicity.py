@@ -116,16 +116,18 @@ class Matcher:
 class Scanner:
     """Per-worker state: words already looked up, so that each distinct word is matched once."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, model: Model):
         self.matcher = Matcher(model.terms, model.lookalikes)
         self.seen: set[str] = set()
         self.hits: dict[str, float] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, own: set[str]) -> None:
+        """Look up a text's words that are new; when too many are held, forget all but this text's."""
         if len(self.seen) > self.LIMIT:
             self.seen, self.hits = set(), {}
+        words = own - self.seen
         self.seen |= words
         for w in words:
             if self.matcher.exact(w):
@@ -138,8 +140,8 @@ class Scanner:
         low = (text or "").lower()
         words = WORD.findall(low)
         own = set(words)
-        if new := own - self.seen:
-            self._learn(new)
+        if not own <= self.seen:
+            self._learn(own)
         found = own & self.hits.keys()
         if not found:
             return 0.0, 0.0, 0.0

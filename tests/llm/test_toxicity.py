@@ -88,3 +88,12 @@ def test_odd_rows(spark, odd, clashing, empty):
     kept = toxicity.score(clashing, model, keep=("doc_id", "text", "lang"))
     assert kept.columns[:3] == ["doc_id", "text", "lang"] and kept.count() == 10
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_forgetting_words_changes_no_result(monkeypatch):
+    model = toxicity.Model([("idiot", True), ("lowei", False)])
+    texts = [f"idiot w{i}" + "".join(f" {chr(97 + j)}{chr(97 + i % 26)}x" for j in range(5)) + (" loweiung" if i % 3 else "") for i in range(60)]
+    want = [toxicity.Scanner(model).features(t) for t in texts]
+    monkeypatch.setattr(toxicity.Scanner, "LIMIT", 3)
+    scan = toxicity.Scanner(model)
+    assert [scan.features(t) for t in texts] == want and want[1][0] == 2
