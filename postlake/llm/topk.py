@@ -132,11 +132,19 @@ def _cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).astype("int64") if out else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
 
 
-def _meet(queries: DataFrame, blocks: DataFrame, which: DataFrame) -> DataFrame:
-    """Results of all (query block, candidate block) cells in which; queries carry least."""
-    left = queries.join(F.broadcast(which.select("qb", "cb", "longest")), "qb").where(F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("least"))
+def _meet(queries: DataFrame, blocks: DataFrame, lo: int, hi: int, n_qb: int, table: list[tuple[int, int, int, float]]) -> DataFrame:
+    """Results of all cells of a query block and a candidate block from lo to before hi; queries carry least.
+
+    Blocks come longest first, so those that can matter to a query are the first ones up to some block; it is sent to these
+    only. Candidate blocks are sent to every query block.
+    """
+    reach = F.size(F.filter(F.array(*[F.lit(float(t[3])) for t in table]), lambda longest: F.col("norm") * longest * (1 + 1e-9) >= F.col("least")))
+    ends = F.array(F.lit(0), *[F.lit(t[1] + t[2]) for t in table])
+    last = F.least(F.lit(hi), F.element_at(ends, reach + 1))
+    left = queries.withColumn("last", last).where(F.col("last") > lo).withColumn("cb", F.explode(F.sequence(F.lit(lo), F.col("last") - 1)))
     left = left.select(*[F.col(c).alias(c) for c in ("qb", "cb", "vec_id", "v", "least")])  # both sides come from one table
-    right = blocks.join(F.broadcast(which.select("qb", "cb")), "cb").select(*[F.col(c).alias(c) for c in ("qb", "cb", "vec_id", "v")])
+    right = blocks.where(F.col("cb").between(lo, hi - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
+    right = right.select(*[F.col(c).alias(c) for c in ("qb", "cb", "vec_id", "v")])
     made = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
     return made.applyInPandas(_cell, "query_id long, vec_id long, score long")
 
@@ -177,18 +185,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     n_qb = math.ceil(n_query / QUERY_BLOCK)
     queries = own.where(is_query).withColumn("qb", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(n_qb)).cast("int"))
 
-    def cells(lo: int, hi: int) -> DataFrame:
-        longest = [x[3] for x in table for _ in range(x[2])]
-        ids = spark.range(lo, hi).select(F.col("id").cast("int").alias("cb"), F.element_at(F.array(*map(F.lit, longest)), (F.col("id") + 1).cast("int")).alias("longest")) if len(longest) <= 500 else spark.createDataFrame([(c, longest[c]) for c in range(lo, hi)], "cb int, longest double")
-        return ids.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
-
     head = 1
-    start = materialize(_best(_meet(queries.withColumn("least", F.lit(float("-inf"))), blocks, cells(0, head)), k), "head")
+    start = materialize(_best(_meet(queries.withColumn("least", F.lit(float("-inf"))), blocks, 0, head, n_qb, table), k), "head")
     if first <= head:
         return start.select("query_id", "rank", "vec_id", "score")
     known = start.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
     ready = queries.join(known, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    rest = _meet(ready, blocks, cells(head, first))
+    rest = _meet(ready, blocks, head, first, n_qb, table)
     return _best(start.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
