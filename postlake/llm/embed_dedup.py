@@ -227,7 +227,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     narrow = raw.astype(np.float32)
     raw = narrow if (narrow == raw).all() else raw
     g = Graph.build(_unit(raw.astype(float)))
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "graph": [g.dump()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "sizes": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "wide": [raw.dtype == np.float64]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "graph": [g.dump()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "sizes": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "wide": [raw.dtype == np.float64]})
 
 
 def _flat(parent: np.ndarray) -> np.ndarray:
@@ -313,11 +313,11 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "ve
         return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     lay = F.broadcast(spark.createDataFrame(table, "dim int, first int, parts int, first_q int, blocks int"))
     laid = classes.join(lay, "dim")
-    shards = laid.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("shard", "vec_id", "v", "n")
-    graphs = materialize(shards.groupBy("shard").applyInPandas(_build, "shard int, graph binary, ids binary, sizes binary, raw binary, wide boolean"), "graphs")
-    where = spark.createDataFrame([(f + k, fq + b) for _, f, p, fq, bs in table for k in range(p) for b in range(bs)], "shard int, qb int")
+    shards = laid.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("shard", "dim", "vec_id", "v", "n")
+    graphs = materialize(shards.groupBy("shard").applyInPandas(_build, "shard int, dim int, graph binary, ids binary, sizes binary, raw binary, wide boolean"), "graphs")
     queries = laid.withColumn("qb", F.col("first_q") + F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)))
-    made = queries.select("shard", "qb", "vec_id", "v").groupBy("shard", "qb").cogroup(graphs.join(F.broadcast(where), "shard").groupBy("shard", "qb"))
+    everywhere = graphs.join(lay, "dim").withColumn("qb", F.explode(F.sequence(F.col("first_q"), F.col("first_q") + F.col("blocks") - 1))).drop("dim", "first", "parts", "first_q", "blocks")
+    made = queries.select("shard", "qb", "vec_id", "v").groupBy("shard", "qb").cogroup(everywhere.groupBy("shard", "qb"))
     cells = materialize(made.applyInPandas(lambda a, b: _cell(a, b, least), "vec_id long, n_links long, other long"), "cells")
     n = cells.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     comp = connected_components(cells.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
