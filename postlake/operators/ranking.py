@@ -102,6 +102,8 @@ def _full(df: DataFrame, columns: list[str], rules: RuleSet, now: Column) -> Dat
     df = df.withColumn("_read", read_experience(F.col("description"), F.col("_text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree))
     df = df.select("*", *[F.col(f"_read.{c}").alias(f"_{c}") for c in READ])
     flags = skill_flags(F.col("_text"), rules)
+    df = df.withColumn("_flags", F.array(*flags))  # each pattern is matched once
+    flags = [F.get("_flags", k) for k in range(len(rules.skill_groups))]
     labels = F.array_compact(F.array(*[F.when(f, F.lit(g[0])) for f, g in zip(flags, rules.skill_groups, strict=True)]))
     df = df.withColumn("_labels", labels).withColumn("_skill", skill_score(flags, rules)).withColumn("_signal", role_signal(F.col("_text")))
     df = df.withColumn("_sponsor", role_score(F.col("_signal"), F.col("score")))
