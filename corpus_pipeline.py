@@ -22,10 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the one with the smallest id (of repeated ids one row)."""
-    found = simhash.near_duplicates(docs)
-    ids = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one row of each SimHash component: that with the smallest id, null ids last, and of repeated ids any one.
+
+    Rows are told apart by a key of their own, so a row whose id is null or stands on other rows too is judged by its text.
+    """
+    rows = materialize(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, id_col="row_key", order_col="doc_id")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("rank").isNull().alias("no_id"), "rank", F.col("doc_id").alias("row_key"))).alias("first"))
+    keys = materialize(first.select("first.row_key"), "kept")
+    return rows.join(keys, "row_key", "left_semi").select(*COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

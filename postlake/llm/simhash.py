@@ -55,14 +55,15 @@ def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).astype(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+        fp = np.array([fingerprint(t) for t in pdf["_text"]], np.uint64).astype(np.int64)
+        yield pdf.drop(columns="_text").assign(fp=fp)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(
-        _fingerprints, "doc_id long, fp long"
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number; and rank, a long, if order_col is named."""
+    rank = [F.col(order_col).cast("long").alias("rank")] if order_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *rank, F.col(text_col).cast("binary").alias("_text")).mapInPandas(
+        _fingerprints, f"doc_id long, {'rank long, ' if rank else ''}fp long"
     )
 
 
@@ -122,17 +123,17 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_copies) for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_copies) for every row; and rank, the column named by order_col, if one is.
 
     doc_id: the id as long. fingerprint: 16 hex digits. component_id: the smallest doc_id reachable over links of at most
     two differing bits. n_copies: rows with the same fingerprint. Null and empty texts have fingerprint zero and are
     linked like any other; rows with a null id take part and keep their null id; repeated rows are kept; an empty table
     gives no rows; other columns, whatever their names, are not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = materialize(fingerprints(docs, id_col, text_col, order_col), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"))
     classes = materialize(classes, "classes")
     comp = connected_components(links(classes.where("node is not null").select("node", "fp")))
     whole = classes.join(comp, "node", "left").select("fp", "n_copies", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    return fps.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", *(["rank"] if order_col else []))

@@ -74,3 +74,13 @@ def test_stages_on_odd_rows(spark, odd, clashing, empty):
             kept = stage(spark, kept, SF)
             assert kept.columns == COLUMNS
         cp.pack_sequences(spark, kept, SF).count()
+
+
+def test_near_duplicates_are_dropped_by_row(spark, odd):
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=lambda i: (i is None, i))
+    assert ids(cp.drop_near_duplicates(spark, odd, SF)) == [1, 4, 6, 7, 8, None]
+    long = " ".join(f"w{i * i % 97}" for i in range(400))
+    rows = [(9, long), (9, long), (9, "another text under the same id"), (3, long), (None, long), (None, "unique one"), (None, "unique one"), (None, "a second unique text")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], odd.schema)
+    got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(3, long), (9, "another text under the same id"), (None, "unique one"), (None, "a second unique text")], key=str)
