@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is split into sentences; each is normalised and looked up among known licence sentences, and the identifiers found, in
-text order, are matched against ordered rules. Sentence table and rules are parameters of fixed size, so they are literals of the plan:
+A text is normalised, with marks where sentences and lines end; known licence sentences are looked for between marks, on one line
+or wrapped over several, and the identifiers found, in text order, are matched against ordered rules. Sentence table and rules are parameters of fixed size, so they are literals of the plan:
 nothing is joined or shuffled, and each row is worked on where it is read.
 """
 
@@ -77,6 +77,21 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC0-1.0", ("CC0",)),
     ("Unlicense", ("Unlicense",)),
 ]
+# Sentences of full licence texts, which the SQL doesn't know. The name of the holder in the third BSD clause is read as x.
+FULL_TEXTS: dict[str, str] = {
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "MIT-Permission",
+    "Neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
+    "Neither the name of x nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
+    "Neither the name of x nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
+    "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
+}
+FULL_RULES = [
+    ("MIT", ("MIT-Permission",)),
+    ("BSD-3-Clause", ("BSD-Head", "BSD-Source", "BSD-Binary", "BSD-Name")),
+]
+_BSD2 = next(k for k, (licence, _) in enumerate(RULES) if licence == "BSD-2-Clause")
+ALL_RULES = RULES[:_BSD2] + FULL_RULES + RULES[_BSD2:]
+HOLDER = r"(?<=[|/])neither[ /]the[ /]names?[ /]of(?:[ /|][a-z0-9]++){1,15}?[ /|]nor[ /]the[ /]names?[ /]of(?=[ /])"
 #: Sentences end at a line's end, or at . ! ? ; or : before white space.
 SENTENCE_END = r"\n|(?:[.!?;:])[ \t\r]+"
 
@@ -99,21 +114,38 @@ def expanded(sentences: dict[str, str], rules: list[tuple[str, tuple[str, ...]]]
     return [(licence, tuple(x for name in names for x in parts[name])) for licence, names in rules]
 
 
+def marked(text: Column) -> Column:
+    """The normalised text with | where a sentence or a paragraph ends and / where only a line ends; its words are parted by a blank or a mark."""
+    t = F.regexp_replace(F.translate(text, "|/", "##"), r"(?i)(?<![^\n])[^a-z0-9\n]*(?:(?:rem|dnl)(?=[ \t]))?", "")  # indents, bullets and comment prefixes
+    t = F.regexp_replace(F.regexp_replace(t, r"[.!?;:](?=[ \t\r\n])", "|"), r"\n[^A-Za-z0-9]*\n", "|")
+    t = F.lower(F.regexp_replace(F.translate(t, "\n", "/"), "[^A-Za-z0-9|/]+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ /]*\|[ /|]*", "|"), " ?/ ?", "/")
+    return F.regexp_replace(F.concat(F.lit("|"), F.trim(t), F.lit("|")), HOLDER, "neither the name of x nor the names of")
+
+
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order, as an array."""
+    """Identifiers of the known sentences of a text, in order, as an array: whole lines or sentences, or wrapped over lines of a paragraph."""
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    parts = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.try_element_at(lookup, F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))))
-    return F.array_compact(parts)
+    longest_first = "|".join(s.replace(" ", "[ /]") for s in sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[|/])(?:{longest_first})(?=[|/])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(lookup, F.translate(s, "/", " ")))
+
+
+def _uncovered(line: Column, names: tuple[str, ...], licence: str, rules: list[tuple[str, tuple[str, ...]]]) -> Column:
+    """The line without longer sequences of other licences that hold these names, so that a text isn't a shorter licence too."""
+    inner = f" {' '.join(names)} "
+    longer = [f" {' '.join(other)} " for name, other in rules if name != licence and len(other) > len(names) and inner in f" {' '.join(other)} "]
+    return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(" ")), longer, line)
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, first_license) per row.
 
     sentence_ids: identifiers in text order, joined by a blank; licenses: the licences whose rule's identifiers follow one another there, in the order
-    of the rules, joined by a comma; first_license: the first of them, or null. Null and empty texts have none; repeated rows give repeated results; null
+    of the rules, joined by a comma (not where they are part of a longer rule's); first_license: the first of them, or null. Null and empty texts have none; repeated rows give repeated results; null
     ids stay null; an empty table gives no rows; other columns are not read.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | FULL_TEXTS, rules or ALL_RULES
     known = table(sentences)
     # A text without the longest word of any known sentence has no known sentence, and is not split.
     longest = sorted({max(s.split(" "), key=lambda w: (len(w), w)) for s in known})
@@ -122,7 +154,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     ids = F.when(gate, sentence_ids(F.col("text"), known)).otherwise(F.array().cast("array<string>"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", ids.alias("ids"))
     line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(line, F.lit(f" {' '.join(names)} ")), F.lit(licence)) for licence, names in expanded(sentences, rules)])))
+    full = expanded(sentences, rules)
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(_uncovered(line, names, licence, full), F.lit(f" {' '.join(names)} ")), F.lit(licence)) for licence, names in full])))
     return own.withColumn("found", found).select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.array_join("found", ",").alias("licenses"), F.try_element_at("found", F.lit(1)).alias("first_license")
     )

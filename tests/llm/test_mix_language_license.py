@@ -103,6 +103,35 @@ def test_license_rules(spark):
     assert got == {c[0]: c[2] for c in cases}
 
 
+def test_license_notices_may_be_wrapped(spark):
+    import textwrap
+
+    by = {i: s for s, i in (licenses.SENTENCES | licenses.FULL_TEXTS).items()}
+    wrap = lambda text, prefix="": "\n".join(prefix + x for x in textwrap.wrap(text, 75))
+    name = "3. Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    two = f"{by['BSD-Head']}\n\n1. {by['BSD-Source']}\n\n2. {by['BSD-Binary']}"
+    bsd2 = "\n\n".join(wrap(x) for x in two.split("\n\n"))
+    cases = [
+        (wrap(by["GPL3-Later"]), "GPL-3.0-or-later", 2),
+        ("/*\n" + wrap(by["GPL3-Later"] + " " + by["GPL-Warranty"], " * ") + "\n */\nint x;", "GPL-3.0-or-later", 4),
+        ("x = 1\n" + wrap(by["GPL2-Later"], "# ") + "\n#\n# more", "GPL-2.0-or-later", 3),
+        (wrap(by["GPL2-Later"], "dnl "), "GPL-2.0-or-later", 3),
+        ('// Licensed under the Apache License, Version 2.0 (the "License");\r\n// you may not use this file except in compliance\r\n// with the License.\r\n', "Apache-2.0", 2),
+        (wrap(by["MIT-Permission"]), "MIT", 1),
+        (wrap(by["MIT-Notice"], ";; "), "MIT", 1),
+        (bsd2, "BSD-2-Clause", 3),
+        (bsd2 + "\n\n" + wrap(name), "BSD-3-Clause", 4),
+        (two + "\n" + name, "BSD-3-Clause", 4),
+        (bsd2 + "\n\n" + wrap(name) + "\n\n" + bsd2, "BSD-3-Clause,BSD-2-Clause", 7),
+        ("Released under the\n\nMIT License.", "", 0),
+        ("Text\nReleased under the MIT License\nmore", "MIT", 1),
+        ("not Released under\nthe MIT License.", "", 0),
+        ("Released under | the / MIT License.", "MIT", 1),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["licenses"], r["n_sentences"]) for r in rows} == {k: c[1:] for k, c in enumerate(cases)}
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Exchange"))
