@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,8 @@ MIN_TEXTS, MIN_SHARE, PURITY = 5, 0.004, 0.02
 #: ... and if so many toxic among its texts would be a chance less than one in this, by Chernoff's bound (some million forms are tried).
 CHANCE = 1e8
 STEM = range(4, 9)
+#: A form within one edit of a term is harmless if its share of clean texts is more than this part of its share of toxic ones.
+ALIKE = 0.2
 #: Words of these lengths or longer may have one edit (insertion, deletion, substitution, swap of neighbours).
 EDIT_LENGTH = 5
 WINDOW = 60
@@ -48,11 +50,12 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """terms: (text, whole word?); lookalikes: harmless words within one edit; weights: of the logistic model."""
+    """terms: (text, whole word?); lookalikes: harmless words within one edit; weights: of the logistic model; trust: of edits of a term, 1 if not named."""
 
     terms: list[tuple[str, bool]] = field(default_factory=list)
     lookalikes: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
+    trust: dict[str, float] = field(default_factory=dict)
 
 
 class Matcher:
@@ -63,7 +66,8 @@ class Matcher:
         self.root: dict = {}
         self.gates: set[tuple] = set()
         self.head_sizes: tuple[int, ...] = ()
-        sizes = set()
+        self.stem_gates: set[tuple[int, str]] = set()
+        sizes, spans = set(), set()
         for term, whole in terms:
             node = self.root
             for c in term:
@@ -74,8 +78,14 @@ class Matcher:
                 h = max(2, (len(term) - 2) // 2)
                 sizes.add(h)
                 for n in range(len(term) - 1, len(term) + 2):
-                    self.gates |= {(h, n, term[:h]), (-h, n, term[0], term[-h:])}
-        self.head_sizes = tuple(sorted(sizes))
+                    self.gates |= {(h, n, term[:h]), (-h, n, term[0], term[-h:]), (-h, n, "", term[-h:])}
+            elif not whole and len(term) >= EDIT_LENGTH:
+                # The edit is after the first half, or swaps letters across its end, or leaves the rest as it is, a place moved at most.
+                h = (len(term) + 1) // 2
+                own = [(0, term[:h]), (0, term[: h - 1] + term[h] + term[h - 1]), *((k, term[h:]) for k in range(h - 1, h + 2))]
+                self.stem_gates |= set(own)
+                spans |= {(k, k + len(part)) for k, part in own}
+        self.head_sizes, self.stem_spans = tuple(sorted(sizes)), tuple(sorted(spans))
 
     def exact(self, word: str) -> str | None:
         """The whole-word term that the word is, or the stem that it begins with (a stem needs an ending)."""
@@ -93,12 +103,35 @@ class Matcher:
         n = len(word)
         if not any((h, n, word[:h]) in self.gates or (-h, n, word[0], word[-h:]) in self.gates for h in self.head_sizes) or word in self.lookalikes:
             return None
+        return self._walk(word, lambda node, row: node["whole"] if row[n] <= 1 and len(node.get("whole", "")) >= EDIT_LENGTH and node["whole"][0] == word[0] else None)
+
+    def misspelt(self, word: str) -> str | None:
+        """A whole-word term at one edit, or a stem at one edit of a beginning of the word; None for known look-alikes."""
+        if word in self.lookalikes:
+            return None
+        n = len(word)
+        whole = any((h, n, word[:h]) in self.gates or (-h, n, "", word[-h:]) in self.gates for h in self.head_sizes)
+        if not whole and not any((i, word[i:j]) in self.stem_gates for i, j in self.stem_spans):
+            return None
+
+        def ends(node: dict, row: tuple[int, ...]) -> str | None:
+            if row[n] <= 1 and len(node.get("whole", "")) >= EDIT_LENGTH:
+                return node["whole"]
+            if len(node.get("stem", "")) >= EDIT_LENGTH and min(row[:n]) <= 1:  # a stem needs an ending
+                return node["stem"]
+            return None
+
+        return self._walk(word, ends)
+
+    def _walk(self, word: str, ends: Callable[[dict, tuple[int, ...]], str | None]) -> str | None:
+        """What ends() finds first at a node of the trie that the automaton reaches."""
+        n = len(word)
         # States of the automaton are the rows of edit distances over prefixes of the word; rows above 1 everywhere die.
         stack = [(self.root, tuple(min(i, 2) for i in range(n + 1)), None, "", None)]
         while stack:
             node, row, before, last, _ = stack.pop()
-            if row[n] <= 1 and len(node.get("whole", "")) >= EDIT_LENGTH and node["whole"][0] == word[0]:
-                return node["whole"]
+            if found := ends(node, row):
+                return found
             for c, child in node.items():
                 if len(c) != 1:
                     continue
@@ -119,7 +152,7 @@ class Scanner:
     LIMIT = 150_000
 
     def __init__(self, model: Model):
-        self.matcher = Matcher(model.terms, model.lookalikes)
+        self.matcher, self.trust = Matcher(model.terms, model.lookalikes), model.trust
         self.seen: set[str] = set()
         self.hits: dict[str, float] = {}
 
@@ -132,8 +165,8 @@ class Scanner:
         for w in words:
             if self.matcher.exact(w):
                 self.hits[w] = 1.0
-            elif self.matcher.edited(w):
-                self.hits[w] = EDITED
+            elif term := self.matcher.misspelt(w):
+                self.hits[w] = EDITED * self.trust.get(term, 1.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Directed weight, quoted weight, directed weight per 100 words."""
@@ -268,11 +301,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = {w for t in pdf["text"] for w in words_of(t)}
-            yield pd.DataFrame({"form": sorted(w for w in own if not bare.exact(w) and bare.edited(w))}, columns=["form"], dtype=str)
-
-    alike = once.where("toxic = 0").select("text").mapInPandas(near, "form string").distinct().orderBy("form").limit(MAX_LOOKALIKES).collect()
-    model = Model(terms, frozenset(r["form"] for r in alike))
+            n, close = (Counter(), Counter()), {}
+            for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
+                for w in set(words_of(text)):
+                    if w not in close:
+                        close[w] = None if bare.exact(w) else bare.misspelt(w)
+                    if close[w]:
+                        n[int(toxic)][w] += 1
+            rows = [(w, close[w], n[1][w], n[0][w]) for w in n[0].keys() | n[1].keys()]
+            yield pd.DataFrame(rows, columns=["form", "term", "pos", "neg"]).astype({"form": str, "term": str, "pos": "int64", "neg": "int64"})
+
+    # A form in few clean texts beside many toxic ones is quoted or mislabelled there, not harmless.
+    n_neg = len(kept) - n_pos
+    forms = once.select("toxic", "text").mapInPandas(near, "form string, term string, pos long, neg long").groupBy("form", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    forms = materialize(forms, "toxic-forms")
+    alike = forms.where((F.col("neg") > 0) & (F.col("neg") * n_pos > ALIKE * n_neg * F.col("pos"))).orderBy(F.desc("neg"), "form").limit(MAX_LOOKALIKES).collect()
+    # Where harmless words crowd around a term, one that the sample lacks is likely harmless too: its edits count by their toxic part.
+    part = {r["term"]: ((r["pos"] + 1) / n_pos, r["neg"] / n_neg) for r in forms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}
+    model = Model(terms, frozenset(r["form"] for r in alike), trust={t: p / (p + n) for t, (p, n) in part.items()})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scanner(model)
@@ -281,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = np.array([tuple(r) for r in once.select("toxic", "text").mapInPandas(measure, "toxic int, a double, b double, c double").collect()], float)
     w = _logistic(design(got[:, 1:]), got[:, 0])
-    return Model(terms, model.lookalikes, tuple(float(v) for v in w))
+    return Model(terms, model.lookalikes, tuple(float(v) for v in w), model.trust)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -97,3 +97,35 @@ def test_forgetting_words_changes_no_result(monkeypatch):
     monkeypatch.setattr(toxicity.Scanner, "LIMIT", 3)
     scan = toxicity.Scanner(model)
     assert [scan.features(t) for t in texts] == want and want[1][0] == 2
+
+
+def test_misspellings_of_stems_and_first_letters():
+    terms = [("idiot", True), ("disgusting", True), ("lowei", False), ("achlichs", False)]
+    m, rng, caught = toxicity.Matcher(terms), random.Random(3), 0
+    for term, whole in terms:
+        word = term if whole else term + "ungen"
+        for k in range(len(term)):
+            forms = [word[:k] + word[k + 1 :], word[:k] + "z" + word[k + 1 :], word[:k] + "z" + word[k:]]
+            for w in forms + ([word[:k] + word[k + 1] + word[k] + word[k + 2 :]] if k + 1 < len(term) else []):
+                assert m.exact(w) or m.misspelt(w), w
+    for _ in range(4000):
+        word = list(rng.choice(terms)[0] + rng.choice(["", "e", "ung"]))
+        for _ in range(rng.randrange(0, 4)):
+            word[rng.randrange(len(word))] = rng.choice("acdehilostw")
+        w = "".join(word)
+        want = any(distance(w, t) <= 1 if whole else any(distance(w[:k], t) <= 1 for k in range(1, len(w))) for t, whole in terms)
+        assert (m.misspelt(w) is not None) == want, w
+        caught += want
+    assert caught > 500
+    s = toxicity.Scanner(toxicity.Model(terms))
+    assert s.features("what a diot")[0] == s.features("so liweiung")[0] == toxicity.EDITED
+
+
+def test_one_clean_text_does_not_make_a_lookalike(spark):
+    rng = random.Random(4)
+    draw = lambda n: " ".join("".join(rng.choice("bcdfgkmnpr") for _ in range(6)) for _ in range(n))
+    texts = [(k, f"{draw(6)} idiot {draw(3)}{' idoit ' if k < 30 else ' '}{draw(6)}", 1) for k in range(100)]
+    texts += [(1000 + k, f"{draw(8)}{' idoit ' if k == 7 else ' '}{draw(8)}", 0) for k in range(100)]
+    data = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), folds=7, held_out_fold=9)
+    assert ("idiot", True) in model.terms and "idoit" not in model.lookalikes
