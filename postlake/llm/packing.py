@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections import Counter
@@ -40,7 +41,7 @@ def token_path(name: str) -> str:
 
 
 class Encoder:
-    """Whole texts to ids of the byte-level vocabulary."""
+    """Whole texts to ids of the byte-level vocabulary, strings of added tokens read as those tokens."""
 
     def __init__(self, tokenizer: str, ranks: str | None):
         self.tokenizer, self.fast = tokenizer, None
@@ -52,19 +53,24 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+        with open(tokenizer, encoding="utf-8") as f:
+            self.added = tuple(t["content"] for t in json.load(f)["added_tokens"])
+
     @cached_property
     def slow(self):
         """Loaded where a text needs it: both readers' tables at once would be a good part of a worker's memory."""
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.tokenizer)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(self.tokenizer)
+
+    def _plain(self, text: str) -> bool:
+        """Whether the fast reader gives the same ids: common characters only, and no added token's string."""
+        return self.fast is not None and not _COMMON.search(text) and not any(a in text for a in self.added)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if self.fast is not None and not _COMMON.search(text):
+        if self._plain(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -76,11 +77,20 @@ def test_cut():
     assert packing.cut(5000) == [(0, 904), (904, 2048), (2952, 2048)]
 
 
-def reference_ids(texts):
+@cache
+def reference_reader():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.token_path(packing.TOKENIZER))
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(packing.token_path(packing.TOKENIZER))
+
+
+@cache
+def encoder():
+    return packing.Encoder(packing.token_path(packing.TOKENIZER), packing.token_path(packing.RANKS))
+
+
+def reference_ids(texts):
+    t = reference_reader()
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
 
 
@@ -117,7 +127,7 @@ def test_whole_table(spark):
 @settings(max_examples=400, deadline=None)
 def test_both_readers_give_the_same_ids(text):
     text = text.encode("utf-8", "ignore").decode()
-    e = packing.Encoder(packing.token_path(packing.TOKENIZER), packing.token_path(packing.RANKS))
+    e = encoder()
     assert e.ids(text).tolist() == reference_ids([text])[0][:-1].tolist()
 
 
@@ -125,7 +135,7 @@ def test_both_readers_give_the_same_ids(text):
 @settings(max_examples=600, deadline=None)
 def test_the_fast_reader_agrees_in_its_characters(text):
     assert not packing._COMMON.search(text)
-    e = packing._encoders.setdefault("test", packing.Encoder(packing.token_path(packing.TOKENIZER), packing.token_path(packing.RANKS)))
+    e = encoder()
     assert e.ids(text).tolist() == e.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -139,8 +149,17 @@ def test_odd_rows(odd, clashing, empty):
     assert packing.pack(clashing).count() == len(rows) and packing.pack(empty).count() == 0
 
 
-def test_special_strings_are_text():
+def test_strings_of_added_tokens_are_those_tokens():
     e = packing.Encoder(packing.token_path(packing.TOKENIZER), packing.token_path(packing.RANKS))
-    assert e.ids("a<|endoftext|>").tolist() == reference_ids(["a<|endoftext|>"])[0][:-1].tolist()
+    assert e.ids("a<|endoftext|> b").tolist() == [64, 50256, 275]
+    for text in ("<|endoftext|>", "x <|endoftext|><|endoftext|>y", "<|endoftext", "<|ENDOFTEXT|>", "é <|endoftext|> \U0001f600"):
+        assert e.ids(text).tolist() == reference_ids([text])[0][:-1].tolist()
     with pytest.raises(FileNotFoundError):
         packing.Encoder(packing.token_path(packing.TOKENIZER), "/nowhere")
+
+
+def test_packed_documents_with_added_tokens(spark):
+    docs = [(1, "a<|endoftext|> b"), (2, "<|endoftext|>" * 3000), (3, "plain")]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    verify(rows, docs)
+    assert {r["doc_id"]: r["length"] for r in rows if r["doc_id"] != 2} == {1: 4, 3: 2}
