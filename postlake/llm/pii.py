@@ -1,9 +1,10 @@
 """Personal data by weak supervision: labelers vote on spans, EM rates the labelers, a classifier decides.
 
-Base spans (exact patterns) always stand. Further candidates, found by looser patterns, get votes from pattern, gazetteer
-and context labelers. The votes of all candidates are summed to a table of vote patterns, which is bounded by the number
-of labelers and not by the corpus; on it, expectation-maximisation estimates the labelers' reliabilities, and a logistic
-span classifier is trained on its posteriors. Texts are read once and never shuffled.
+Base spans (exact patterns) always stand. They and further candidates, found by looser patterns, get votes from pattern,
+gazetteer and context labelers and a few coarse features. Spans are summed to a table of (votes, features), which is
+bounded by their possible values and not by the corpus; on it, expectation-maximisation estimates the labelers'
+reliabilities, and a logistic span classifier over votes and features is trained on its posteriors. It alone decides on
+candidates. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from .common import materialize
+from .common import fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -63,9 +65,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _holds(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(_octet(p) for p in found.split("."))
     digits = _NOT_DIGIT.sub("", found)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -91,10 +98,26 @@ def _emails(text: str) -> Iterator[tuple[str, int, int]]:
         at = text.find("@", m.end() if m else at + 1)
 
 
+#: Dotted numbers of four parts or more, from the start of the first: each digit is read once.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+
+
+def _ips(text: str) -> Iterator[tuple[str, int, int]]:
+    """The leftmost non-overlapping matches of the base pattern that hold, in linear time: four parts of a dotted number after four."""
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(_octet, four)):
+                yield "ip", at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns in code points, by kind as listed, then start."""
-    out = list(_emails(text))
-    for kind in KINDS[1:]:
+    out = [*_emails(text), *_ips(text)]
+    for kind in ("card", "phone"):
         if kind == "phone" and "+" not in text:
             continue
         out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if _holds(kind, m[0])]
@@ -102,19 +125,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
-    """Each labeler's vote on a candidate: 1 for, -1 against, 0 none."""
+    """Each labeler's vote on a span: 1 for, -1 against, 0 none."""
     found = text[start:end]
     near = [w.lower() for w in WORDS.findall(text[max(0, start - 40) : start])][-4:] + [w.lower() for w in WORDS.findall(text[end : end + 25])][:2]
     digits = _NOT_DIGIT.sub("", found)
     if kind == "email":
-        marked = bool(re.search(r"[(\[{]\s*(?:at|dot)|＠", found, re.I))
+        marked = "@" in found or bool(re.search(r"[(\[{]\s*(?:at|dot)|＠", found, re.I))
         gazetteer = 1 if found.lower().rstrip(")]}").split(".")[-1].split()[-1] in TOP_LEVEL else -1
-        shape = 1 if re.search(r" dot |\(dot\)|\[dot\]|\{dot\}", found, re.I) else 0
+        shape = 1 if re.search(r"@| dot |\(dot\)|\[dot\]|\{dot\}", found, re.I) else 0
         pattern = 1 if marked else -1
     elif kind == "ip":
         parts = [p for p in _NOT_DIGIT.split(found) if p]
         v6 = ":" in found
-        pattern = 1 if v6 or all(int(p) <= 255 for p in parts) else -1
+        pattern = 1 if v6 or all(map(_octet, parts)) else -1
         gazetteer = 1 if v6 or parts[0] in ("10", "127", "172", "192") else 0
         shape = 1 if v6 or len(parts) == 4 else -1
     elif kind == "card":
@@ -130,42 +153,63 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     return pattern, gazetteer, context, shape, against
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Looser matches that touch no base span of any kind, with their vote pattern as text, e.g. phone:+0+-0."""
-    out: list[tuple[str, int, int, str]] = []
-    taken = [(s, e) for _, s, e in base]
+def _beside(c: str) -> str:
+    """What stands beside a span: nothing or white space (s), a letter or digit (w), another character (p)."""
+    return "s" if not c or c.isspace() else "w" if c.isalnum() else "p"
+
+
+def features(kind: str, text: str, start: int, end: int) -> tuple[str, ...]:
+    """Coarse features of a span, each with few values: its size, how many kinds of separators it has, what stands beside it."""
+    found = text[start:end]
+    size = min((end - start) // 8, 8) if kind == "email" else min(len(_NOT_DIGIT.sub("", found)), 20)
+    separators = len({c for c in found if not c.isalnum()})
+    return f"n{size}", f"k{min(separators, 3)}", "b" + _beside(text[start - 1 : start]), "a" + _beside(text[end : end + 1])
+
+
+def key(kind: str, text: str, start: int, end: int) -> str:
+    """kind:votes:features of a span, e.g. phone:+0+-0:n11.k1.bs.ap."""
+    return f"{kind}:{''.join('-0+'[v + 1] for v in votes(kind, text, start, end))}:{'.'.join(features(kind, text, start, end))}"
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Looser matches that touch no base span of any kind, nor one another."""
+    out: list[tuple[str, int, int]] = []
+    taken: bytearray | None = None
     for kind in KINDS:
         if not _HINTS[kind].search(text):
             continue
         for m in LOOSE[kind].finditer(text):
-            if all(e <= m.start() or m.end() <= s for s, e in taken):
-                out.append((kind, m.start(), m.end(), f"{kind}:" + "".join("-0+"[v + 1] for v in votes(kind, text, m.start(), m.end()))))
-                taken.append((m.start(), m.end()))
+            if taken is None:  # a mark per character, so that many spans cost no more than few
+                taken = bytearray(len(text))
+                for _, s, e in base:
+                    taken[s:e] = b"\1" * (e - s)
+            if taken.find(1, m.start(), m.end()) < 0:
+                out.append((kind, m.start(), m.end()))
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     return out
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            base = base_spans(text or "")
-            more = candidates(text or "", base)
-            rows.append((doc_id, [dict(kind=k, start=s, end=e) for k, s, e in base], [dict(kind=k, start=s, end=e, votes=v) for k, s, e, v in more]))
-        yield pd.DataFrame(rows, columns=["doc_id", "base", "more"])
+def spans_of(text: str | None) -> list[dict]:
+    """All spans of a text, base ones first; base is true for these."""
+    if not text:
+        return []
+    base = base_spans(text)
+    more = candidates(text, base)
+    return [dict(kind=k, start=s, end=e, base=n < len(base), key=key(k, text, s, e)) for n, (k, s, e) in enumerate([*base, *more])]
 
 
-def em(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
-    """P(personal data) of each vote pattern, by EM over one kind's patterns with conditionally independent labelers.
+def em(patterns: dict[str, float], rounds: int = 100) -> dict[str, float]:
+    """P(personal data) of each vote pattern (votes as -, 0, +), by EM with conditionally independent labelers.
 
-    Two classes, three votes per labeler. It starts from the majority vote, with smoothing that keeps a labeler better than chance at
-    the start; a pattern that occurs once counts as once.
+    Two classes, three votes per labeler. It starts from the majority vote, with smoothing that keeps a labeler better than
+    chance at the start, the pattern labeler (the first) more than the others; a pattern that occurs once counts as once.
     """
     keys = sorted(patterns)
     if not keys:
         return {}
     n = np.array([patterns[k] for k in keys], float)
-    v = np.array([["-0+".index(c) for c in k.split(":")[1]] for k in keys])
-    score = (v - 1).sum(axis=1)
+    v = np.array([["-0+".index(c) for c in k] for k in keys])
+    score = (v - 1).sum(axis=1) + 2 * (v[:, 0] - 1)
     post = np.clip(0.5 + 0.2 * score, 0.05, 0.95)
     prior_votes = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])  # class 0: against, none, for; class 1 mirrored
     for _ in range(rounds):
@@ -173,7 +217,7 @@ def em(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
         like = np.tile(np.log([[1 - share], [share]]), (1, len(keys)))
         for j in range(v.shape[1]):
             for c, w in ((0, n * (1 - post)), (1, n * post)):
-                t = prior_votes[c] + np.bincount(v[:, j], w, 3)
+                t = prior_votes[c] ** (1 if j else 3) + np.bincount(v[:, j], w, 3)
                 like[c] += np.log(t / t.sum())[v[:, j]]
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30)))
         done = np.abs(new - post).max() < 1e-9
@@ -183,42 +227,65 @@ def em(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return dict(zip(keys, post.tolist(), strict=True))
 
 
-def train(patterns: dict[str, int]) -> dict[str, float]:
-    """Pattern to probability by a logistic classifier over votes, trained on the EM posteriors of each kind."""
+def train(tally: dict[str, int]) -> dict[str, float]:
+    """Key to probability by a logistic classifier over votes and features, trained on the EM posteriors of each kind."""
     out: dict[str, float] = {}
     for kind in KINDS:
-        own = {k: n for k, n in patterns.items() if k.startswith(kind + ":")}
-        post = em(own)
+        own = sorted(k for k in tally if k.startswith(f"{kind}:"))
         if not own:
             continue
-        x = np.array([[1.0, *("-0+".index(c) - 1 for c in k.split(":")[1])] for k in sorted(own)])
-        y, n = np.array([post[k] for k in sorted(own)]), np.array([own[k] for k in sorted(own)], float)
+        parts = [k.split(":") for k in own]
+        n = np.array([tally[k] for k in own], float)
+        by_votes: dict[str, float] = {}
+        for (_, v, _), m in zip(parts, n.tolist(), strict=True):
+            by_votes[v] = by_votes.get(v, 0) + m
+        post = em(by_votes)
+        y = np.array([post[v] for _, v, _ in parts])
+        names = sorted({f for _, _, fs in parts for f in fs.split(".")})
+        x = np.array([[1.0, *("-0+".index(c) - 1 for c in v), *(float(f in fs.split(".")) for f in names)] for _, v, fs in parts])
         w, penalty = np.zeros(x.shape[1]), np.eye(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = x.T @ (x * (n * (p * (1 - p) + 1e-9))[:, None]) + penalty
             w = w - np.linalg.solve(h, x.T @ (n * (p - y)) + penalty @ w)
-        out |= dict(zip(sorted(own), (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
+        out |= dict(zip(own, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
     return out
 
 
+_SPANS = ArrayType(StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("base", BooleanType()).add("key", StringType()))
+
+
+@F.pandas_udf(_SPANS)
+def _spans(texts: pd.Series) -> pd.Series:
+    return texts.map(spans_of)
+
+
+def _accepted(spans: Column, yes: Column) -> Column:
+    return F.filter(spans, lambda c: c["base"] | F.array_contains(yes, c["key"]))
+
+
+def _classifier(scanned: DataFrame, col: str, threshold: float) -> Column:
+    """The keys that a classifier trained on all rows' spans accepts at threshold, as an array."""
+    tally = scanned.select(F.explode(F.col(f"{col}.key")).alias("key")).groupBy("key").count().collect()  # bounded by the keys' possible values
+    yes = sorted(k for k, p in train({r["key"]: r["count"] for r in tally}).items() if p >= threshold)
+    return F.array(*map(F.lit, yes)) if yes else F.array().cast("array<string>")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end) in code points, end exclusive, by kind as in KINDS, then start.
 
     base holds the pattern matches that always stand, spans those and the candidates that the classifier accepts at
-    threshold. A candidate needs a pattern vote for it besides. Null and empty texts have no spans; repeated rows give repeated results; null ids stay null; an empty
-    table gives no rows; other columns are not read. Vote patterns are counted over all rows.
+    threshold. Null and empty texts have no spans; texts of any length are read whole, in linear time; repeated rows give
+    repeated results; null ids stay null; an empty table gives no rows; other columns are not read. Votes are counted over all rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    span = "struct<kind:string,start:int,end:int"
-    found = materialize(own.mapInPandas(_scan, f"doc_id long, base array<{span}>>, more array<{span},votes:string>>"), "spans")
-    counted = found.select(F.explode("more.votes").alias("votes")).groupBy("votes").count().collect()
-    accepted = [k for k, p in train({r["votes"]: r["count"] for r in counted}).items() if p >= threshold and k.split(":")[1][0] == "+"]
-    yes = F.array(*[F.lit(k) for k in accepted]) if accepted else F.array().cast("array<string>")
-    more = F.transform(F.filter("more", lambda c: F.array_contains(yes, c["votes"])), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    scanned = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), _spans(F.col(text_col).cast("string")).alias("found")), "spans")
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
-    keyed = F.array_sort(F.transform(F.concat("base", more), lambda c: F.struct(rank[c["kind"]].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    return found.select("doc_id", "base", F.transform(keyed, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("spans"))
+    ordered = lambda spans: F.transform(
+        F.array_sort(F.transform(spans, lambda c: F.struct(rank[c["kind"]].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))),
+        lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
+    )
+    spans = _accepted(F.col("found"), _classifier(scanned, "found", threshold))
+    return scanned.select("doc_id", ordered(F.filter("found", lambda c: c["base"])).alias("base"), ordered(spans).alias("spans"))
 
 
 def _is_kind(kind: str) -> Callable[[Column], Column]:
@@ -232,40 +299,35 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """docs with each span replaced by [EMAIL], [IP], [CARD] or [PHONE] in text_col; all other columns as they are.
+@F.pandas_udf(StringType())
+def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Spans come as start:end:kind, joined by commas."""
+    split = lambda x: [(int(s), int(e), kind) for s, e, kind in (y.split(":") for y in x.split(","))]
+    return pd.Series([masked(t, split(x)) for t, x in zip(texts, spans, strict=True)])
 
-    The vote table is made in a first pass over all texts; the second pass finds the spans again and replaces them, so no
-    texts are shuffled. A null text stays null. Where spans of two kinds overlap, they become one mark of the first kind.
-    """
-    own = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tally = own.mapInPandas(_tally, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    accepted = frozenset(k for k, p in train({r["votes"]: r["n"] for r in tally}).items() if p >= threshold and k.split(":")[1][0] == "+")
-
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else masked(t, accepted))
-
-    return docs.withColumn(text_col, mask(F.col(text_col)))
-
-
-def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        n: dict[str, int] = {}
-        for text in pdf["text"]:
-            if text:
-                for c in candidates(text, base_spans(text)):
-                    n[c[3]] = n.get(c[3], 0) + 1
-        yield pd.DataFrame({"votes": list(n), "n": list(n.values())}).astype({"votes": str, "n": "int64"})
 
+def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs with each span replaced by [EMAIL], [IP], [CARD] or [PHONE] in text_col; all other columns as they are.
 
-def masked(text: str, accepted: frozenset[str]) -> str:
-    base = base_spans(text)
-    spans = sorted([(s, e, k) for k, s, e in base] + [(s, e, k) for k, s, e, v in candidates(text, base) if v in accepted])
-    if not spans:
-        return text
+    Rows are written once with their spans, so that no text is searched twice or shuffled; only rows that hold a span pass
+    through Python again. A null text stays null and an empty one empty; repeated rows are redacted alike; an empty table
+    stays empty. Where spans overlap, they become one mark, of the kind that starts first.
+    """
+    columns = docs.columns
+    found, take = fresh(columns, "found"), fresh(columns, "take")
+    scanned = materialize(docs.withColumn(found, _spans(F.col(f"`{text_col}`").cast("string"))), "spans")
+    yes = _classifier(scanned, found, threshold)
+    marked = scanned.withColumn(take, _accepted(F.col(found), yes))
+    clean = marked.where(F.size(take) == 0).select(*[F.col(f"`{c}`") for c in columns])
+    spans = F.array_join(F.transform(F.col(take), lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["kind"])), ",")
+    held = marked.where(F.size(take) > 0).withColumn(text_col, _mask(F.col(f"`{text_col}`").cast("string"), spans))
+    return clean.unionByName(held.select(*[F.col(f"`{c}`") for c in columns]))
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with (start, end, kind) spans replaced by marks."""
     out, at = [], 0
-    for s, e, kind in spans:
+    for s, e, kind in sorted(spans):
         if s >= at:
             out += [text[at:s], f"[{kind.upper()}]"]
         at = max(at, e)

@@ -39,10 +39,11 @@ def test_stages_against_a_plain_version(spark):
     clean = cp.redact_pii(spark, one, SF)
     texts = {r["doc_id"]: r for r in clean.collect()}
     assert clean.columns == COLUMNS
-    tally = Counter(c[3] for i in texts for c in pii.candidates(rows[i]["text"], pii.base_spans(rows[i]["text"])))
-    accepted = frozenset(k for k, p in pii.train(tally).items() if p >= 0.5 and k.split(":")[1][0] == "+")
+    spans = {i: pii.spans_of(rows[i]["text"]) for i in texts}
+    accepted = {k for k, p in pii.train(Counter(x["key"] for own in spans.values() for x in own)).items() if p >= 0.5}
     for i, r in texts.items():
-        assert r["text"] == pii.masked(rows[i]["text"], accepted) and r["n_chars"] == len(r["text"]) and not pii.base_spans(r["text"])
+        take = [(x["start"], x["end"], x["kind"]) for x in spans[i] if x["base"] or x["key"] in accepted]
+        assert r["text"] == pii.masked(rows[i]["text"], take) and r["n_chars"] == len(r["text"]) and not pii.base_spans(r["text"])
 
     mixed = cp.mix_sources(spark, clean, SF)
     n = Counter(r["source"] for r in texts.values())
