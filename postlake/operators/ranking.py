@@ -99,7 +99,7 @@ def _full(df: DataFrame, columns: list[str], rules: RuleSet, now: Column) -> Dat
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     df = df.withColumn("_text", F.concat(F.col("_title"), F.lit("\n"), blank("department"), F.lit("\n"), F.col("description")))
     df = df.withColumn("_meta", F.concat(blank("employment_type"), F.lit("\n"), blank("department")))
-    df = df.withColumn("_read", read_experience(F.col("description"), F.col("_text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree))
+    df = df.withColumn("_read", read_experience(F.col("description"), F.col("_text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree, rules["core_technology_regex"]))
     df = df.select("*", *[F.col(f"_read.{c}").alias(f"_{c}") for c in READ])
     flags = skill_flags(F.col("_text"), rules)
     df = df.withColumn("_flags", F.array(*flags))  # each pattern is matched once

@@ -12,14 +12,14 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import experience, html, text
 from .operators import evidence, history, ledger, ranking, robots
 from .operators.location import location_status
 from .plans import reports, universe
-from .rules import load_rules
+from .rules import RuleSet, load_rules, sample_profile, sample_rules
 from .sources import boards, files, pages  # noqa: F401  register the normalizers
 from .sources.base import PAYLOAD, Request, normalizer, within
 from .streaming import events as streams
@@ -507,6 +507,9 @@ PLACES = [
     (1, "New York, NY", "", "[]", "", "us"), (2, "London, United Kingdom", "", "[]", "US", "non_us"), (3, "Remote", "", "[]", "US", "us_inferred_remote"), (4, "Remote", "", "[]", "", "unknown"), (5, "Dublin, OH", "", "[]", "", "us"),
     (6, "Bengaluru | Austin, TX", "", "[]", "", "us"), (7, "Remote - CA", "", "[]", "", "unknown"), (8, "Toronto; Pune", "", "[]", "", "non_us"), (9, "Anywhere", "", '["United States"]', "", "us"), (10, "Austin, TX", "", '["DE"]', "", "non_us"),
     (11, "london, or maybe here", "", "[]", "", "non_us"), (12, "Mexico City, Mexico", "", "[]", "", "non_us"), (13, "Santa Fe, New Mexico", "", "[]", "", "us"), (14, "", "", "[]", "US", "unknown"), (15, "Vancouver, WA (Hybrid)", "", "[]", "", "us"),
+    *[(20 + k, place, "", "[]", "US", "non_us") for k, place in enumerate(["Toronto, CA", "Panamá, Provincia de Panamá, PA", "Karnataka, Karnātaka, IN", "Batumi, Georgia", "Remote - Argentina", "Remote - Costa Rica", "Tbilisi, Georgia"])],
+    *[(30 + k, place, "", "[]", "US", "us") for k, place in enumerate(["Dublin, CA", "London, Kentucky", "New London, CT", "Mexico, Missouri", "Brazil, IN", "Panama City, FL Hybrid", "Vancouver, WA Remote", "Toronto, Canada | New York, US", "US", "Seattle, US"])],
+    *[(40 + k, place, "", "[]", "US", "unknown") for k, place in enumerate(["Remote, CA", "Remote, IN", "Location TBD or negotiable"])], (50, "Karnataka, IN", "", '["IN"]', "US", "non_us"),
     (16, "India, Remote - US", "", "[]", "", "us"), (17, "Georgia", "Remote", "[]", "", "us"), (18, "Mars", "", "[]", "", "unknown"),
 ]
 
@@ -519,6 +522,8 @@ def q_location_status(df: DataFrame) -> DataFrame:
 
 SIGNALS = [
     (1, "We will not sponsor work visas.", "explicit_no_sponsorship", 0.0), (2, "No visa sponsorship", "explicit_no_sponsorship", 0.0), (3, "H-1B sponsorship is available", "explicit_h1b_sponsorship_available", 0.92), (4, "Visa sponsorship available", "explicit_sponsorship_available", 0.62),
+    *[(20 + k, say, "explicit_no_sponsorship", 0.0) for k, say in enumerate(["This job is not eligible for employment-based sponsorship.", "People requiring visa sponsorship will not be considered.", "Sponsorship is unavailable.", "We may not be able to employ some visa categories or support H-1B sponsorship.", "H-1B transfers are not supported.", "No immigration assistance is available.", "You must have unrestricted work authorization.", "We are not considering people who require visa sponsorship.", "Sponsorship for employment authorization is not available.", "Visa sponsorship cannot be accommodated.", "We won’t sponsor visas.", "H1B candidates cannot be considered.", "Applicants must not now or in the future require visa sponsorship.", "Sponsorship: None.", "We cannot transfer H-1Bs.", "Immigration support is not provided."])],
+    (40, "H-1B transfer sponsorship is available.", "explicit_h1b_sponsorship_available", 0.92), (41, "Without a doubt, visa sponsorship is available", "explicit_sponsorship_available", 0.62), (42, "No visa sponsorship required for citizens", "not_stated", 0.62),
     (5, "We build tools", "not_stated", 0.62), (6, "We sponsor H1B; no sponsorship.", "explicit_no_sponsorship", 0.0), (7, "Must be authorized to work in the US without sponsorship", "explicit_no_sponsorship", 0.0), (8, "Our charity sponsors events", "not_stated", 0.62), (9, "We do sponsor visas", "explicit_sponsorship_available", 0.62),
 ]
 
@@ -530,6 +535,10 @@ def q_sponsor_signal(df: DataFrame) -> DataFrame:
     return df.select("id", s.alias("signal"), evidence.role_score(s, evidence.employer_score(F.lit("medium"))).cast("double").alias("score"))
 
 
+def _read(rules: RuleSet) -> Column:
+    return experience.read_experience(F.col("text"), F.col("text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree, rules["core_technology_regex"])
+
+
 YEARS = [
     (1, "5+ years of experience in backend", 5.0, 5.0), (2, "3-5 years of software development", 3.0, 5.0), (3, "Founded 20 years ago", None, None), (4, "Minimum of two years of Java", 2.0, 2.0), (5, "more than 3 years of experience", 4.0, 4.0),
     (6, "Bachelor's and 5 years of experience or Master's and 3 years of experience", 3.0, 3.0), (7, "Preferred qualifications: 8 years of experience", 8.0, 8.0), (8, "Minimum qualifications: 2 years of experience. Preferred qualifications: 6 years of experience", 2.0, 2.0), (9, "no numbers", None, None), (10, "", None, None),
@@ -540,22 +549,20 @@ YEARS = [
 @literal("id int, text string", YEARS, 2, "id INTEGER, min_years DOUBLE, max_years DOUBLE")
 def q_years(df: DataFrame) -> DataFrame:
     """P1 to P4, P6."""
-    rules = load_rules({})
-    r = experience.read_experience(F.col("text"), F.col("text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree)
+    r = _read(sample_rules())
     return df.withColumn("r", r).select("id", F.col("r.min_years").alias("min_years"), F.col("r.max_years").alias("max_years"))
 
 
 BOUND = [
-    (1, "3 years of experience with Kafka", "Kafka:3", False, ""), (2, "3 years of Java or Python", "", False, ""), (3, "3 years of Python", "Python:3", False, ""), (4, "3 years of AWS experience and Python familiarity", "", False, ""), (5, "Kafka (preferred)", "", False, ""),
-    (6, "U.S. citizenship is required", "", True, ""), (7, "U.S. citizenship is required is preferred", "", False, ""), (8, "Experience with full-stack", "", False, "full-stack/frontend ownership"), (9, "Redis, Kafka: 2 years of experience", "Redis:2,Kafka:2", False, ""), (10, "Nice to have: experience with full-stack", "", False, ""),
+    (1, "3 years of experience with Kafka", "Kafka/MSK:3", False, ""), (2, "3 years of Java or Python", "", False, ""), (3, "3 years of Python", "Python/FastAPI:3", False, ""), (4, "3 years of AWS experience and Python familiarity", "", False, ""), (5, "Kafka (preferred)", "", False, ""),
+    (6, "U.S. citizenship is required", "", True, ""), (7, "U.S. citizenship is required is preferred", "", False, ""), (8, "Experience with full-stack", "", False, "full-stack/frontend ownership"), (9, "Redis, Kafka: 2 years of experience", "Redis/ElastiCache:2,Kafka/MSK:2", False, ""), (10, "Nice to have: experience with full-stack", "", False, ""),
 ]
 
 
 @literal("id int, text string", BOUND, 2, "id INTEGER, overages VARCHAR, restricted BOOLEAN, scopes VARCHAR")
 def q_bound_technology(df: DataFrame) -> DataFrame:
     """P5, P7, G10, G16, G22."""
-    rules = load_rules({})
-    r = experience.read_experience(F.col("text"), F.col("text"), rules.secondary_groups, rules["work_authorization_restriction_regex"], rules.required_scopes, rules.degree)
+    r = _read(sample_rules())
     over = F.array_join(F.transform("r.overages", lambda o: F.concat(o["label"], F.lit(":"), o["years"].cast("string"))), ",")
     return df.withColumn("r", r).select("id", over.alias("overages"), F.col("r.restricted").alias("restricted"), F.array_join("r.scopes", ",").alias("scopes"))
 
@@ -601,6 +608,32 @@ def q_gates(df: DataFrame) -> DataFrame:
     return ranking.evaluate(df, rules, F.lit(NOW)).select("seq", "accepted", F.array_join("rejection_reasons", "; ").alias("reasons"), "priority")
 
 
+_OK = "Build Java backend services on AWS. Requires 3+ years of software engineering experience."
+_SCOPE, _LEVEL = "title is outside backend/platform/security/SRE scope", "level-IV/V role exceeds target seniority"
+GATE_CASES = [  # title, description, location, department, url: reasons by the sample profile
+    (1, "Backend Engineer", _OK, "Austin, TX", "", "u", ""), (2, "", _OK, "Austin, TX", "", "u", "title lacks a target engineering discipline"), (3, "Backend Engineer", _OK, "Austin, TX", "", "", "missing title or official source URL"),
+    (4, "Junior Backend Engineer", _OK, "Austin, TX", "", "u", "new-grad/entry-level"), (5, "Backend Engineer, Senior Associate", _OK, "Austin, TX", "", "u", ""), (6, "Backend Engineer", _OK, "Austin, TX", "University Recruiting", "u", "new-grad/entry-level"),
+    (7, "Backend Engineer Manager", _OK, "Austin, TX", "", "u", "people-management role"), (8, "Backend Engineer", _OK, "Austin, TX", "Mobile", "u", "department is outside backend/platform/security/SRE scope"), (9, "Backend Engineer", _OK, "Austin, TX", "Machine Learning Platform", "u", ""),
+    (10, "Backend Engineer I", _OK, "Austin, TX", "", "u", "level-I/junior role"), (11, "Backend Engineer I/O", _OK, "Austin, TX", "", "u", ""), (12, "Backend Engineer IV", _OK, "Austin, TX", "", "u", _LEVEL), (13, "Software Engineer, Quantum Platform", _OK, "Austin, TX", "", "u", _SCOPE),
+    (14, "Software Engineer, Verification Platform", _OK, "Austin, TX", "", "u", _SCOPE), (15, "Data Engineer, Streaming", "Run Kafka topics on AWS. Requires 3+ years of experience.", "Austin, TX", "", "u", "streaming data-engineer title lacks software-development evidence"), (16, "Data Engineer, Streaming", _OK, "Austin, TX", "", "u", ""),
+    (17, "Backend Engineer", _OK + " Tune GPU kernels.", "Austin, TX", "", "u", "posting requires a specialist domain not established by the resume"), (18, "Backend Engineer", _OK + " Own full-stack features.", "Austin, TX", "", "u", "posting requires full-stack/frontend ownership"),
+    (19, "Backend Engineer", _OK, "Location TBD or negotiable", "", "u", "US eligibility could not be verified from location"), (20, "Backend Engineer", "Java on AWS. Requires 1-2 years of experience.", "Austin, TX", "", "u", "experience range is explicitly junior (at most two years)"),
+    (21, "Backend Engineer", "Java on AWS. Requires 1 year of experience.", "Austin, TX", "", "u", "experience floor is explicitly junior (one year or less)"), (22, "Senior Backend Engineer", "Java on AWS. Requires 5+ years of experience.", "Austin, TX", "", "u", "requires about 5+ years; Senior role exceeds configured experience ceiling"),
+    (23, "Backend Engineer", _OK + " Must be a citizen of the United States.", "Austin, TX", "", "u", "citizenship/clearance-restricted or federal role"), (24, "Backend Engineer", _OK + " Security clearance is a plus.", "Austin, TX", "", "u", ""), (25, "Federal Backend Engineer", _OK, "Austin, TX", "", "u", "citizenship/clearance-restricted or federal role"),
+    (26, "Backend Engineer", _OK + " Requires 3+ years building AI platforms.", "Austin, TX", "", "u", "requires 3+ years of AI/ML application infrastructure, beyond verified resume depth"), (27, "Backend Engineer", _OK + " No H-1B transfers.", "Austin, TX", "", "u", "posting explicitly rules out sponsorship; employer/role sponsorship confidence below threshold"),
+]
+
+
+@literal("id int, title string, description string, location string, department string, source_url string", GATE_CASES, 6, "id INTEGER, reasons VARCHAR")
+def q_gate_cases(df: DataFrame) -> DataFrame:
+    """G1, G3 to G5, G7 to G10, G14 to G16, G18, G19, G21, G22, G25, G26 with the sample profile, scores aside."""
+    profile = sample_profile()
+    profile["filters"] |= {"min_match_score": 0}
+    rest = {c: F.lit("") for c in ("employment_type", "workplace_type", "raw", "default_country")}
+    df = df.withColumns(rest).withColumns({"posted_at": F.lit(NOW), "confidence": F.lit("high"), "score": F.lit(0.8)})
+    return ranking.evaluate(df, load_rules(profile), F.lit(NOW)).select("id", F.array_join("rejection_reasons", "; ").alias("reasons"))
+
+
 _H = lambda *a: D(2024, 1, *a)
 EVENTS = [  # id, mode, posted, prev, receipt, sent before, accepted, raw: event, emit, stale reason?
     (1, "initial", _H(19), None, None, False, True, "{}", "new", True, False), (2, "initial", _H(1), None, None, False, True, "{}", "new", False, True), (3, "incremental", _H(19), None, None, False, True, "{}", "new", True, False), (4, "incremental", _H(1), None, None, False, True, "{}", "new", False, True),
