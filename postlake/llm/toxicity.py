@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -23,9 +24,6 @@ from .common import crc_bucket, materialize
 
 #: Labelled rows per class that fit() reads at most (those with the smallest hash of their id).
 SAMPLE_PER_CLASS = 4000
-#: Terms in the lexicon, and harmless look-alikes beside them, at most.
-MAX_TERMS = 300
-MAX_LOOKALIKES = 20_000
 #: A term is kept if it is in so many toxic sample texts, and is this much rarer (as a share) in the others.
 MIN_TEXTS, MIN_SHARE, PURITY = 5, 0.004, 0.02
 #: ... and if so many toxic among its texts would be a chance less than one in this, by Chernoff's bound (some million forms are tried).
@@ -36,16 +34,56 @@ ALIKE = 0.2
 #: Words of these lengths or longer may have one edit (insertion, deletion, substitution, swap of neighbours).
 EDIT_LENGTH = 5
 WINDOW = 60
-#: What a match in quotation or under report or denial counts, and one with an edit.
-QUOTED, EDITED = 0.25, 0.7
+#: What a match with an edit counts; one in quotation or under report or denial is counted apart, and the model learns what it tells.
+EDITED = 0.7
 # Words that report or deny, in the four languages of the tables.
 REPORTS = frozenset("said says called quoted wrote reported not never no sagte nannte zitierte nicht kein nie dijo llamó citó escribió nunca dit appelé cité écrit pas jamais".split())
-QUOTES = "\"'«»“”„‚‘’‹›"
-WORD = re.compile(r"[^\W\d_]+")
+# Digits that are written for letters.
+FIGURES = str.maketrans("01345789", "oieastbg")
+WORD = re.compile(r"[^\W_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = re.compile("[\"'«»“”„‚‘’‹›]|\n[ \t\r]*\n")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The words of letters in a text, in lower case."""
+    return LETTERS.findall(text.lower()) if text else []
+
+
+def quoted(text: str) -> list[tuple[int, int]]:
+    """What stands between quotation marks of one kind within a paragraph, as disjoint (start, end) in order; in one pass.
+
+    Straight marks open and close in turn; „ “ and ‚ ‘ take what opened before into account; « » and ‹ › go either way. Apostrophes
+    within words are none; a single mark opens before a word and closes after one.
+    """
+    out, opened = [], {}
+    for m in _MARKS.finditer(text):
+        c, at = m[0], m.start()
+        if c[0] == "\n":
+            opened.clear()
+            continue
+        before, after = text[at - 1 : at].isalnum(), text[at + 1 : at + 2].isalnum()
+        if c in "'’" and before and after:
+            continue
+        kind = "single" if c in "'" else "low single" if c in "‚‘’" else "double" if c == '"' else "low" if c in "„“”" else "angle" if c in "«»" else "point"
+        start = opened.get(kind)
+        if start is None:
+            if c not in "”’" and (kind != "single" or after and not before):
+                opened[kind] = at, c
+        elif c == "'" and after:
+            opened[kind] = at, c
+        elif kind in ("single", "double") or c != start[1]:
+            out.append((start[0], at))
+            del opened[kind]
+        else:
+            opened[kind] = at, c
+    whole: list[tuple[int, int]] = []
+    for start, end in sorted(out):  # those of different kinds may lie in one another
+        if whole and start <= whole[-1][1]:
+            whole[-1] = whole[-1][0], max(end, whole[-1][1])
+        else:
+            whole.append((start, end))
+    return whole
 
 
 @dataclass
@@ -78,7 +116,7 @@ class Matcher:
                 h = max(2, (len(term) - 2) // 2)
                 sizes.add(h)
                 for n in range(len(term) - 1, len(term) + 2):
-                    self.gates |= {(h, n, term[:h]), (-h, n, term[0], term[-h:]), (-h, n, "", term[-h:])}
+                    self.gates |= {(h, n, term[:h]), (-h, n, term[-h:])}
             elif not whole and len(term) >= EDIT_LENGTH:
                 # The edit is after the first half, or swaps letters across its end, or leaves the rest as it is, a place moved at most.
                 h = (len(term) + 1) // 2
@@ -98,19 +136,12 @@ class Matcher:
                 return None
         return node.get("whole")
 
-    def edited(self, word: str) -> str | None:
-        """A whole-word term at one edit, sharing the first letter; None for known look-alikes."""
-        n = len(word)
-        if not any((h, n, word[:h]) in self.gates or (-h, n, word[0], word[-h:]) in self.gates for h in self.head_sizes) or word in self.lookalikes:
-            return None
-        return self._walk(word, lambda node, row: node["whole"] if row[n] <= 1 and len(node.get("whole", "")) >= EDIT_LENGTH and node["whole"][0] == word[0] else None)
-
     def misspelt(self, word: str) -> str | None:
         """A whole-word term at one edit, or a stem at one edit of a beginning of the word; None for known look-alikes."""
         if word in self.lookalikes:
             return None
         n = len(word)
-        whole = any((h, n, word[:h]) in self.gates or (-h, n, "", word[-h:]) in self.gates for h in self.head_sizes)
+        whole = any((h, n, word[:h]) in self.gates or (-h, n, word[-h:]) in self.gates for h in self.head_sizes)
         if not whole and not any((i, word[i:j]) in self.stem_gates for i, j in self.stem_spans):
             return None
 
@@ -163,10 +194,20 @@ class Scanner:
         words = own - self.seen
         self.seen |= words
         for w in words:
-            if self.matcher.exact(w):
-                self.hits[w] = 1.0
-            elif term := self.matcher.misspelt(w):
-                self.hits[w] = EDITED * self.trust.get(term, 1.0)
+            hit = self._weigh(w) if w.isalpha() else self._weigh_figures(w)
+            if hit:
+                self.hits[w] = hit
+
+    def _weigh(self, word: str) -> float:
+        if self.matcher.exact(word):
+            return 1.0
+        term = self.matcher.misspelt(word)
+        return EDITED * self.trust.get(term, 1.0) if term else 0.0
+
+    def _weigh_figures(self, word: str) -> float:
+        """A word with figures: its runs of letters as words, or the whole with figures read as letters, as an edit."""
+        term = self.matcher.exact(word.translate(FIGURES))
+        return max([EDITED * self.trust.get(term, 1.0) if term else 0.0, *map(self._weigh, LETTERS.findall(word))])
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Directed weight, quoted weight, directed weight per 100 words."""
@@ -178,19 +219,20 @@ class Scanner:
         found = own & self.hits.keys()
         if not found:
             return 0.0, 0.0, 0.0
-        directed = quoted = 0.0
+        directed = apart = 0.0
+        spans = quoted(low)
+        ends = [e for _, e in spans]
         for m in WORD.finditer(low):
             if m[0] not in found:
                 continue
-            weight, left, right = self.hits[m[0]], low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
-            tail = WORD.findall(left)[-3:]
-            held = any(left.count(q) % 2 for q in QUOTES if q in left) and any(q in right for q in QUOTES)
-            held = held or (left[-1:] in QUOTES and right[:1] in QUOTES and bool(left) and bool(right))
-            if held or not REPORTS.isdisjoint(tail):
-                quoted += weight
+            weight, left = self.hits[m[0]], low[max(0, m.start() - WINDOW) : m.start()]
+            k = bisect_right(ends, m.start())
+            held = k < len(spans) and spans[k][0] < m.start()
+            if held or not REPORTS.isdisjoint(WORD.findall(left)[-3:]):
+                apart += weight
             else:
                 directed += weight
-        return directed, quoted, 100 * directed / len(words)
+        return directed, apart, 100 * directed / len(words)
 
 
 def design(f: np.ndarray) -> np.ndarray:
@@ -244,28 +286,30 @@ def _is_chance(pos: int, neg: int, rate: float) -> bool:
 def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tuple[str, bool]]:
     """The shortest pure stems, each grown while it loses no texts; whole words where no stem is pure."""
     pos = {w: p for w, p, n in counts if p >= max(MIN_TEXTS, MIN_SHARE * n_pos) and n * max(n_pos, 1) <= PURITY * p * max(n_neg, 1) and not _is_chance(p, n, n_pos / max(n_pos + n_neg, 1))}
-    ranked, taken, out = sorted(pos, key=lambda w: (len(w.rstrip("$")), w)), set(), []
+    ranked, names, taken, out = sorted(pos, key=lambda w: (len(w.rstrip("$")), w)), sorted(pos), set(), []
     for w in ranked:
         bare = w.rstrip("$")
         if any(bare[:k] in taken for k in STEM if k < len(bare) + (w == bare)) or w in taken:
             continue
         grown = w
         while not grown.endswith("$"):
-            longer = [x for x in pos if x.startswith(grown) and (x.endswith("$") or len(x) == len(grown) + 1) and pos[x] >= 0.98 * pos[w]]
+            begin_so = names[bisect_left(names, grown) : bisect_left(names, grown + "\U0010ffff")]
+            longer = [x for x in begin_so if x != grown and (x.endswith("$") or len(x) == len(grown) + 1) and pos[x] >= 0.98 * pos[w]]
             if not longer:
                 break
             grown = max(longer, key=lambda x: (x.endswith("$"), pos[x], x))
         taken |= {w, grown}
         out.append((grown.rstrip("$"), grown.endswith("$"), pos[w]))
     out.sort(key=lambda x: (-x[2], x[0]))
-    return [(t, whole) for t, whole, _ in out[:MAX_TERMS]]
+    return [(t, whole) for t, whole, _ in out]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0) -> Model:
     """Learn from at most SAMPLE_PER_CLASS labelled rows of either class whose crc32(id) mod folds is not held_out_fold.
 
     Labels other than 0 and 1 and null ids are ignored; an id labelled twice counts as toxic if either label is 1. The
-    corpus is read once, for the texts of the sample (its ids, a bounded list, are broadcast). With one class only, or
+    corpus is read once, for the texts of the sample (its ids, a bounded list, are broadcast). All terms and look-alikes that
+    the sample shows are kept. With one class only, or
     none, the model has no terms and scores every text as clean.
     """
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -294,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     once = sample.drop("toxic").join(F.broadcast(spark.createDataFrame(kept, "doc_id long, toxic int")), "doc_id")
     counts = once.select("toxic", "text").mapInPandas(_count, "form string, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_pos))
-    rows = counts.where((F.col("pos") >= least) & (F.col("neg") * n_pos <= PURITY * (len(kept) - n_pos) * F.col("pos"))).orderBy(F.desc("pos"), "form").limit(50 * MAX_TERMS).collect()
+    rows = counts.where((F.col("pos") >= least) & (F.col("neg") * n_pos <= PURITY * (len(kept) - n_pos) * F.col("pos"))).collect()  # bounded by the sample
     terms = choose_terms([tuple(r) for r in rows], n_pos, len(kept) - n_pos)
 
     bare = Matcher(terms)
@@ -315,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_neg = len(kept) - n_pos
     forms = once.select("toxic", "text").mapInPandas(near, "form string, term string, pos long, neg long").groupBy("form", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     forms = materialize(forms, "toxic-forms")
-    alike = forms.where((F.col("neg") > 0) & (F.col("neg") * n_pos > ALIKE * n_neg * F.col("pos"))).orderBy(F.desc("neg"), "form").limit(MAX_LOOKALIKES).collect()
+    alike = forms.where((F.col("neg") > 0) & (F.col("neg") * n_pos > ALIKE * n_neg * F.col("pos"))).collect()  # bounded by the sample
     # Where harmless words crowd around a term, one that the sample lacks is likely harmless too: its edits count by their toxic part.
     part = {r["term"]: ((r["pos"] + 1) / n_pos, r["neg"] / n_neg) for r in forms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}
     model = Model(terms, frozenset(r["form"] for r in alike), trust={t: p / (p + n) for t, (p, n) in part.items()})

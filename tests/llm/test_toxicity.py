@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def test_automaton_on_the_trie_equals_edit_distance():
         word = "".join(word)
         if not word:
             continue
-        want = any(len(t) >= toxicity.EDIT_LENGTH and t[0] == word[0] and distance(word, t) <= 1 for t in terms)
-        assert (m.edited(word) is not None) == want, word
+        want = any(len(t) >= toxicity.EDIT_LENGTH and distance(word, t) <= 1 for t in terms)
+        assert (m.misspelt(word) is not None) == want, word
         assert (m.exact(word) is not None) == (word in terms)
 
 
@@ -61,6 +63,50 @@ def test_quotation_counts_less_than_abuse():
     assert s.features(None) == s.features("") == (0, 0, 0)
 
 
+def test_quotation_marks_are_paired_over_the_whole_text():
+    s = toxicity.Scanner(toxicity.Model([("idiot", True)]))
+    far = "and so on " * 20
+    for text in (f'"{far} idiot {far}" is rude', f"« {far} idiot {far} » dit", f"»{far} idiot {far}« steht da", f"„{far} idiot {far}“ steht da", f"“{far} idiot {far}” it was", f"‘{far} idiot {far}’ it was", f"'{far}idiot {far}.' it was", f'« x "y" idiot {far} "z" "z" "z" "z" "z" »'):
+        assert s.features(text)[:2] == (0, 1), text
+    for text in ("don't be an idiot, it's what you are", "l'homme est un idiot, d'accord, l'an", "the students' idiot isn't", 'a "word" and an idiot and a "word"', 'one " mark, idiot', 'an inch 5" long\n\nidiot "yes"', "idiot"):
+        assert s.features(text)[:2] == (1, 0), text
+    began = time.process_time()
+    s.features('" idiot ' * 100_000)
+    assert time.process_time() - began < 5
+
+
+def test_figures_for_letters():
+    s = toxicity.Scanner(toxicity.Model([("idiot", True), ("lowei", False)]))
+    for word in ("1d1ot", "id10t", "l0weiung"):
+        assert s.features(f"so {word} there")[0] == toxicity.EDITED, word
+    assert s.features("idiot99 there")[0] == 1 and s.features("a1b2c3 1234 0x10")[0] == 0
+
+
+def plain_weights(word, model):
+    """What a word may count, by the definition: no trie, no gates, no caches."""
+    if any(word == t if whole else word.startswith(t) and len(word) > len(t) for t, whole in model.terms):
+        return {1.0}
+    if word in model.lookalikes:
+        return {0.0}
+    beginnings = lambda t: [word[:k] for k in range(max(1, len(t) - 1), min(len(word), len(t) + 2))]
+    near = [t for t, whole in model.terms if len(t) >= toxicity.EDIT_LENGTH and any(distance(w, t) <= 1 for w in ([word] if whole else beginnings(t)))]
+    return {toxicity.EDITED * model.trust.get(t, 1.0) for t in near} or {0.0}
+
+
+def test_scores_equal_the_plain_definition(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    assert len(model.terms) > 5
+    rows = [r["text"] for r in docs.where("length(text) < 600").orderBy("doc_id").limit(150).collect()]
+    rng = random.Random(1)
+    for t, _ in model.terms:  # planted terms, misspelt at a random letter
+        k = rng.randrange(len(t))
+        rows += [f"so {t}en you", f"you {t[:k]}{t[k + 1 :]}er too", f"you {t[:k]}q{t[k + 1 :]}er too"]
+    scan = toxicity.Scanner(model)
+    for word in {w for text in rows for w in re.findall(r"[^\W\d_]+", text.lower())}:
+        assert sum(scan.features(word)[:2]) in plain_weights(word, model), word
+
+
 def test_held_out_accuracy(spark):
     got = op1_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
     rows = got.select("predicted", "toxic", "score").collect()
