@@ -1,5 +1,7 @@
 import hashlib
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,11 +73,63 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.98 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def learned(texts, langs):
+    """The model by plain sets and one dense solution, from all texts as landmarks."""
+    names = sorted(set(langs))
+    bare = langid.Model(names, [langid.slots(t) for t in texts], np.empty(0))
+    gram, target = langid.sums(bare, [names.index(x) for x in langs], bare.landmarks, [1 / langs.count(x) for x in langs])
+    return langid.solve(names, bare.landmarks, gram, target)
+
+
 def test_kernel_is_presence_of_shared_ngrams():
     a, b = langid.slots("Abc abc"), langid.slots("abc")
     assert set(b) <= set(a) and len(langid.slots("x" * 3_000_000)) == len(langid.slots("x" * 50))
-    m = langid.solve(["en", "en", "de", "de"], [langid.slots(t) for t in ("the cat and the dog", "the house of the hen", "der hund und die katze", "das haus und der hof")])
+    texts = ["the cat and the dog", "the house of the hen", "der hund und die katze", "das haus und der hof"]
+    m = learned(texts, ["en", "en", "de", "de"])
     assert [m.langs[k] for k in m.predict(["the dog of the house", "der hof und die katze"])[0]] == ["en", "de"]
+    sets = [set(langid.slots(t).tolist()) for t in texts]
+    own = [set(langid.slots(t).tolist()) for t in ("the dog", "zzz qqq", "der")]
+    want = [[len(x & y) / (len(x) * len(y)) ** 0.5 for y in sets] for x in own]
+    assert np.allclose(m.kernel([np.array(sorted(x)) for x in own]), want, atol=1e-6)
+
+
+def test_language_results_are_the_plain_ones(spark, monkeypatch):
+    """Fit and prediction over a whole table against sets and one dense solution."""
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 1000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.collect()
+    train = {(r["doc_id"], r["lang"]): r["text"] for r in rows if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    n = Counter(lang for _, lang in train)
+    assert set(model.langs) == set(n) and max(n.values()) <= langid.SAMPLE_PER_LANGUAGE  # so all of them are learned from
+    marks = [set(x.tolist()) for x in model.landmarks]
+    spectrum = lambda t: set(langid.slots(t).tolist())
+    feature = lambda s: [*(len(s & m) / (len(s) * len(m)) ** 0.5 for m in marks), 1.0]
+    k = np.array([feature(spectrum(t)) for t in train.values()])
+    y = np.array([[1.0 if lang == x else -1.0 for x in model.langs] for _, lang in train])
+    w = np.array([1 / n[lang] for _, lang in train])
+    penalty = np.zeros((len(marks) + 1, len(marks) + 1))
+    penalty[:-1, :-1] = [feature(m)[:-1] for m in marks]
+    penalty[:-1, :-1] += 1e-6 * np.eye(len(marks))
+    weights = np.linalg.solve(k.T @ (k * w[:, None]) + langid.RIDGE * penalty + 1e-8 * np.eye(len(penalty)), k.T @ (y * w[:, None]))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        f = np.array(feature(spectrum(r["text"]))) @ weights
+        e = np.exp(4 * (f - f.max()))
+        assert abs(got[r["doc_id"]]["score"] - e.max() / e.sum()) < 1e-3 and (got[r["doc_id"]]["lang_pred"] == model.langs[int(f.argmax())] or np.sort(f)[-1] - np.sort(f)[-2] < 1e-3)
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", 5)
+    monkeypatch.setattr(langid, "LANDMARKS", 60)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(260)]
+    rows = [(i, f"{words[i % 260]}{words[(i * 7) % 260]} {words[i % 260] * 3} {words[i % 260]}{i}", f"l{i % 260}") for i in range(2600)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 260 and len(model.landmarks) == 520
 
 
 def test_language_odd_rows(odd, clashing, empty):
