@@ -359,6 +359,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return keys.map(lambda k: [bisect_right(cuts, k), *guests.get(k, ())])
 
     dealt = own.withColumn("at", places("key")).select("*", F.posexplode("at").alias("nth", "part")).withColumn("own", F.col("nth") == 0)
-    dealt = dealt.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "key")
+    dealt = dealt.repartitionById(shuffle_width(spark), "part").sortWithinPartitions("part", "key")
     kind = pages.schema[id_col].dataType.simpleString()
     return dealt.select("page_id", "url", "host", "html", "own", "part").mapInPandas(_extract, f"page_id {kind}, url string, text string, n_chars long, paired boolean")
