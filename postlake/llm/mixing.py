@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,11 @@ def _inverse(docs: DataFrame, r: DataFrame, source_col: str, u: Column, name: st
     else:
         # Too many sources to send around: a hot source is split over salts, and each salt gets its rate.
         salts = 64
-        pull = F.udf(cumulative, "array<double>")
+
+        @F.pandas_udf("array<double>")
+        def pull(rates: pd.Series) -> pd.Series:
+            return rates.map(cumulative)
+
         table = r.select(F.col("source").alias(src), pull("rate").alias(cdf), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{salt}_r"))
         salted = docs.withColumn(salt, F.floor(u * salts).cast("int"))
         joined = salted.join(table, salted[source_col].eqNullSafe(F.col(src)) & (F.col(salt) == F.col(f"{salt}_r")), "left").drop(salt, f"{salt}_r")
@@ -92,13 +97,15 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float =
     columns pass through; those named copy or shuffle_key are replaced.
 
     Rows lie in a global shuffle: dealt to tasks by a hash and sorted within them by shuffle_key, a number in [0, 1)
-    that is random over the whole output.
+    that is random over the whole output. It comes from id and copy; for rows without an id, which may be many, from their place in the input.
     """
     given = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")])
     r = rates(given, targets, alpha, size, source_col)
     u = unit(seed, F.col(id_col))
     name = fresh(given.columns, "drawn")
     drawn = _inverse(given, r, source_col, u, name).where(F.col(name) > 0)
+    drawn = drawn.withColumn(name + "_place", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(name) - 1))).drop(name)
-    out = out.withColumn("shuffle_key", unit(seed + 1, F.col(id_col), F.col("copy")))
+    key = F.when(F.col(id_col).isNull(), unit(seed + 1, F.lit("place"), F.col(name + "_place"), F.col("copy"))).otherwise(unit(seed + 1, F.col(id_col), F.col("copy")))
+    out = out.withColumn("shuffle_key", key).drop(name + "_place")
     return out.repartition(shuffle_width(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")

@@ -58,6 +58,13 @@ def test_mix_is_shuffled_and_repeats(spark):
     assert abs(np.corrcoef(ids, range(len(ids)))[0, 1]) < 0.1
 
 
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"))
+    out = mixing.mix(docs, size=3.0)
+    n = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(n) == 4 and max(n) < 1.2 * min(n) and out.select("shuffle_key").distinct().count() == sum(n)
+
+
 def test_mix_odd_rows(odd, clashing, empty):
     out = mixing.mix(odd, {"a": 1.0}, size=20.0)
     assert {r["doc_id"] for r in out.collect()} == {2, 3, 5} and out.columns[:5] == odd.columns
