@@ -8,6 +8,9 @@ each pair with a differing segment bit meets once, and pairs with an equal segme
 Work is on distinct fingerprints. A key with many of them is not paired at all: its rows are cut again by
 variants of the other segment (one bit taken out on variant keys, two on exact keys). Rows that agree on both cuts differ
 in at most two bits by construction and are at most four, so the expansion stays linear in the rows.
+
+A key has 31 or 32 bits, so from about 2^31 distinct fingerprints on most keys are shared by chance and most rows are kept for
+the second cut; that stays exact and linear, with up to 496 variants of a row's other segment.
 """
 
 from __future__ import annotations
@@ -20,15 +23,18 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, shuffle_width
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 #: Keys with more distinct fingerprints than this are cut again instead of paired (an exact way, not a cap).
 PAIR_LIMIT = 48
+#: Shared keys are sent to all tasks up to so many (16 bytes each), and joined by shuffle beyond.
+BROADCAST_KEYS = 500_000
+#: A fingerprint is hot if it holds more than this part of all rows (so there are fewer hot ones than its inverse).
+HOT = 1 / 2000
 _CHUNK = 1 << 15
 
 
@@ -98,9 +104,11 @@ def links(nodes: DataFrame) -> DataFrame:
     Small keys give every such pair; large keys give a star for each set that agrees on all but two bits, which joins
     the same components.
     """
-    sized = _keys(nodes).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    # Few keys are shared; what is left after this one large shuffle is small.
-    sized = materialize(sized, "shared-keys")
+    # Keys are counted with sums made before the shuffle, so that no key needs to meet in one task; few are shared.
+    nodes = nodes.repartition(shuffle_width(nodes.sparkSession))
+    counts = materialize(_keys(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    send = F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts
+    sized = materialize(_keys(nodes).join(send, "key"), "sharing-rows")
     small = sized.where(F.col("n") <= PAIR_LIMIT)
     x, y = small.alias("x"), small.alias("y")  # one narrow table, joined with itself on the key
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
@@ -134,6 +142,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col, order_col), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"))
     classes = materialize(classes, "classes")
-    comp = connected_components(links(classes.where("node is not null").select("node", "fp")))
-    whole = classes.join(comp, "node", "left").select("fp", "n_copies", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", *(["rank"] if order_col else []))
+    comp = connected_components(links(classes.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
+    # Components are made of fingerprints, so that a text whose rows have no id links others too; then they are named by their smallest id.
+    linked = materialize(classes.join(comp, "fp"), "linked")
+    named = linked.groupBy("component").agg(F.min("node").alias("name"))
+    alone = classes.join(comp, "fp", "left_anti").select("fp", "n_copies", F.col("node").alias("component_id"))
+    whole = materialize(alone.unionByName(linked.join(named, "component").select("fp", "n_copies", F.col("name").alias("component_id"))), "components")
+    # Rows of hot fingerprints meet their class in place, all others by shuffle.
+    least = HOT * (whole.agg(F.sum("n_copies")).first()[0] or 0)
+    hot = F.broadcast(whole.where(F.col("n_copies") > least))
+    rest = fps.join(hot, "fp", "left_anti").join(whole.where(F.col("n_copies") <= least), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", *(["rank"] if order_col else []))

@@ -103,3 +103,21 @@ def test_components_on_a_path_and_a_star(spark):
     rows = connected_components(spark.createDataFrame([*path, *star, (7, 7), (None, 3)], "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in rows} == {**{i: 100 for i in range(100, 141)}, **{i: 0 for i in range(30)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_text_without_an_id_links_others(spark, monkeypatch):
+    a = 0x0123456789ABCDEF
+    fps = [(7, a), (None, a ^ 0b11), (5, a ^ 0b1111), (None, 1 << 40)]
+    df = spark.createDataFrame(fps, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: df)
+    got = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {(7, a): 5, (None, a ^ 0b11): 5, (5, a ^ 0b1111): 5, (None, 1 << 40): None}
+
+
+def test_hot_and_shared_keys_take_the_shuffle_too(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lambda: sorted(tuple(r) for r in simhash.near_duplicates(docs).collect())
+    want = rows()
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(simhash, "HOT", 2.0)
+    assert rows() == want
