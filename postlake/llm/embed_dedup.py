@@ -1,10 +1,11 @@
 """Near-duplicate embeddings with a navigable small-world graph per shard.
 
 Equal vectors are one class; the classes are dealt out to shards of bounded size by hash, and each shard gets a hierarchical small-world
-graph, stored in the shared folder. Every class then queries every shard. A query's beam is widened while it is full of
-links, and for a whole cell while an audit against brute force (some of its queries) finds too few. Found pairs are
-verified by cosine in double precision. A cell returns, per query, the number of linked rows and one link to the
-root of what it is joined to there, not the pairs, so results are linear in the rows; components are joined from these.
+graph, stored in the shared folder. Every class queries its own shard and every later one, so each pair of shards is searched
+once and what is found counts for both sides. A query's beam is widened while it is full of links, and for a whole cell (a
+block of queries and a shard) while an audit against brute force finds too few links of any class of queries. Found pairs are
+verified by cosine in double precision. A cell returns, per class that has a link in it, the number of linked rows and one link
+to the root of what it is joined to there, not the pairs; components are joined from these.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ COSINE = 0.95
 SHARD, SMALL, QUERIES = 16384, 1024, 8192
 #: Links per node, beam while building, first and widest beam while searching, nodes expanded per step.
 M, BUILD_BEAM, BEAM, WIDEST, STEP = 12, 48, 32, 128, 2
-#: Queries audited per cell and the recall they must reach.
-AUDIT, RECALL = 48, 0.98
+#: Audit of a cell: queries with links to find per class of their number, queries tried at most, and the recall that each class must reach.
+AUDIT, AUDIT_TRIED, RECALL = 48, 2048, 0.98
+#: Classes of queries by how many links they have: up to so many.
+LINK_CLASSES = (1, 7, 31)
 _BATCH = 256
 
 
@@ -169,11 +172,11 @@ class Graph:
             return ids, sims
         return ids, sims, np.concatenate(found_q), np.concatenate(found_v)
 
-    def near(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at or above least. Beams that end full of such pairs are widened; past WIDEST, the shard is scanned for these queries."""
-        n = len(self.x)
+    def near(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs at or above least, and whether a query was scanned. Beams that end full of such pairs are widened; past WIDEST, the shard is scanned for these queries."""
+        n, scanned = len(self.x), np.zeros(len(q), bool)
         if not n or not len(q):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), scanned
         out_q, out_v = [], []
         start = np.full((len(q), 1), self.entry)
         for k in range(len(self.levels) - 1, 0, -1):
@@ -185,6 +188,7 @@ class Graph:
                 hq, hv = np.nonzero(q[left] @ self.x.T >= least)
                 out_q.append(left[hq])
                 out_v.append(hv)
+                scanned[left] = True
                 break
             _, sims, hq, hv = self._beam(q[left], start[left], 0, width, least)
             full = sims[:, -1] >= least
@@ -192,7 +196,7 @@ class Graph:
             out_q.append(left[hq[done]])
             out_v.append(hv[done])
             left, width = left[full], width * 4
-        return np.concatenate(out_q), np.concatenate(out_v)
+        return np.concatenate(out_q), np.concatenate(out_v), scanned
 
     def dump(self) -> bytes:
         f = BytesIO()
@@ -208,12 +212,24 @@ class Graph:
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines of row pairs in double precision."""
-    return np.einsum("ij,ij->i", q, v) / np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", v, v))
+    """Cosines of row pairs in double precision; rows whose squares leave the range of doubles are scaled first."""
+    dot, qq, vv = np.einsum("ij,ij->i", q, v), np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", v, v)
+    with np.errstate(all="ignore"):
+        out = dot / np.sqrt(qq * vv)
+    size = np.minimum(qq, vv), np.maximum(qq, vv)
+    odd = np.flatnonzero(~((size[0] > 1e-140) & (size[1] < 1e140)))
+    if len(odd):
+        a, b = _scaled(q[odd]), _scaled(v[odd])
+        out[odd] = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+    return out
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / np.abs(v).max(axis=1, keepdims=True)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    scaled = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-300)
+    scaled = _scaled(v)
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -222,12 +238,12 @@ def _stack(column: pd.Series, kind: type = np.float64) -> np.ndarray:
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id")  # the same graph whenever a task is repeated
+    pdf = pdf.sort_values("node")  # the same graph whenever a task is repeated
     raw = _stack(pdf["v"])
     narrow = raw.astype(np.float32)
     raw = narrow if (narrow == raw).all() else raw
     g = Graph.build(_unit(raw.astype(float)))
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "graph": [g.dump()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "sizes": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "wide": [raw.dtype == np.float64]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "graph": [g.dump()], "ids": [pdf["node"].to_numpy(np.int64).tobytes()], "sizes": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "wide": [raw.dtype == np.float64]})
 
 
 def _flat(parent: np.ndarray) -> np.ndarray:
@@ -249,81 +265,123 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _flat(parent)
 
 
-_EMPTY = {"vec_id": "int64", "n_links": "int64", "other": "int64"}
+_EMPTY = {"node": "int64", "n_links": "int64", "other": "int64"}
+
+
+def _recall(hits: np.ndarray, due: np.ndarray) -> float:
+    """The least share of links found among classes of queries by their number of links, as far as there are such queries."""
+    group = np.searchsorted(LINK_CLASSES, due, side="left")
+    return min((hits[group == k].sum() / due[group == k].sum() for k in np.unique(group)), default=1.0)
+
+
+def _audit(g: Graph, q: np.ndarray, self_at: np.ndarray, scanned: np.ndarray, hit_q: np.ndarray, hit_v: np.ndarray, least: float) -> float:
+    """Recall by brute force over queries that were not scanned and have a link besides themselves, up to AUDIT of each class."""
+    order = np.random.default_rng(11).permutation(np.flatnonzero(~scanned))[:AUDIT_TRIED]
+    found = np.bincount(hit_q[hit_v != self_at[hit_q]], minlength=len(q))
+    hits, dues, seen = [], [], np.zeros(len(LINK_CLASSES) + 1, int)
+    for a in range(0, len(order), 64):
+        test = order[a : a + 64]
+        sims = q[test] @ g.x.T >= least + 1e-6
+        own = np.flatnonzero(self_at[test] >= 0)
+        sims[own, self_at[test][own]] = False
+        due = sims.sum(axis=1)
+        some = due > 0
+        hits.append(np.minimum(found[test[some]], due[some]))
+        dues.append(due[some])
+        seen += np.bincount(np.searchsorted(LINK_CLASSES, due[some], side="left"), minlength=len(seen))
+        if (seen >= AUDIT).all():
+            break
+    return _recall(np.concatenate(hits), np.concatenate(dues)) if hits else 1.0
 
 
 def _cell(queries: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Per query: linked rows in the shard, and the smallest id it is joined to here; per member hit: that id too."""
+    """Per class with a link here: linked rows, and the smallest class that it is joined to here.
+
+    A query of another shard counts for both ends of a link; within a shard all members query, so each end counts its own.
+    """
     if not len(queries) or not len(shard):
         return pd.DataFrame({k: pd.Series(dtype=t) for k, t in _EMPTY.items()})
     s = shard.iloc[0]
     ids, sizes = np.frombuffer(s["ids"], np.int64), np.frombuffer(s["sizes"], np.int64)
     raw = np.frombuffer(s["raw"], np.float64 if s["wide"] else np.float32).reshape(len(ids), -1).astype(float)
     g = Graph.load(s["graph"], _unit(raw))
-    queries = queries.sort_values("vec_id")
-    v, own = _stack(queries["v"]), queries["vec_id"].to_numpy(np.int64)
+    queries = queries.sort_values("node")
+    v, own, own_sizes = _stack(queries["v"]), queries["node"].to_numpy(np.int64), queries["n"].to_numpy(np.int64)
+    inside = int(queries["home"].iloc[0]) == int(s["shard"])
     q = _unit(v)
-    nodes = np.union1d(own, ids)  # sorted, so that the smallest position is the smallest id
+    self_at = np.searchsorted(ids, own) if inside else np.full(len(own), -1)
+    nodes = np.union1d(own, ids)  # sorted, so that the smallest position is the smallest class
     at_own, at_ids = np.searchsorted(nodes, own), np.searchsorted(nodes, ids)
-    audited = np.zeros(len(q), bool)
-    audited[:: max(1, len(q) // AUDIT)] = True
     width = BEAM
     while True:
-        links, parent, hit, due = np.zeros(len(q), np.int64), np.arange(len(nodes)), 0, 0
+        links, parent = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        scanned, all_q, all_v = np.zeros(len(q), bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        audit = width <= WIDEST  # beyond, all is scanned
         for a in range(0, len(q), _BATCH):
-            hq, hv = g.near(q[a : a + _BATCH], least - 1e-4, width)
-            hq = hq + a
+            hq, hv, full = g.near(q[a : a + _BATCH], least - 1e-4, width)
+            hq, scanned[a : a + _BATCH] = hq + a, full
             keep = np.concatenate([exact(v[hq[c : c + 65536]], raw[hv[c : c + 65536]]) >= least for c in range(0, len(hq), 65536)]) if len(hq) else np.empty(0, bool)
+            keep &= hv != self_at[hq]  # a class's own rows are counted outside
             hq, hv = hq[keep], hv[keep]
-            np.add.at(links, hq, np.where(ids[hv] == own[hq], 0, sizes[hv]))  # a class's own rows are added outside
+            np.add.at(links, at_own[hq], sizes[hv])
+            if not inside:
+                np.add.at(links, at_ids[hv], own_sizes[hq])
             parent = _join(parent, at_own[hq], at_ids[hv])
-            test = a + np.flatnonzero(audited[a : a + _BATCH])
-            due += int((q[test] @ g.x.T >= least + 1e-6).sum())
-            hit += int(audited[hq].sum())
-        if hit >= RECALL * due or width > WIDEST:  # beyond WIDEST all was scanned
+            if audit:
+                beam = ~scanned[hq]
+                all_q.append(hq[beam])
+                all_v.append(hv[beam])
+        if not audit or _audit(g, q, self_at, scanned, np.concatenate(all_q), np.concatenate(all_v), least) >= RECALL:
             break
         width *= 4
-    both = np.unique(np.concatenate([at_own, at_ids[parent[at_ids] != at_ids]]))
-    n = np.zeros(len(nodes), np.int64)
-    n[at_own] = links
-    return pd.DataFrame({"vec_id": nodes[both], "n_links": n[both], "other": nodes[parent[both]]})
+    both = np.flatnonzero((links > 0) | (parent != np.arange(len(nodes))))
+    return pd.DataFrame({"node": nodes[both], "n_links": links[both], "other": nodes[parent[both]]})
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-    length do not either. Equal vectors link with each other. A repeated vec_id is a row of its own, with all the rows of its id's class among its links; rows with a null id have no links, a null component and kept
-    false. An empty table gives no rows; other columns are not read.
+    length do not either. Equal vectors link with each other. A repeated vec_id is a row of its own, with all the rows of its id's class among its links; rows with a
+    null id take part (a component without an id has none) and have kept false. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    fine = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = materialize(own.withColumn("key", F.when(fine, F.xxhash64("v"))).withColumn("v", F.when(fine, F.col("v"))), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min("key").alias("key")).withColumn("dim", F.size("v"))
-    classes = materialize(classes, "classes")
-    cores, table, first, first_q = spark.sparkContext.defaultParallelism, [], 0, 0
-    for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    cores, table, first = spark.sparkContext.defaultParallelism, [], 0
+    for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # one row per length of vectors
         parts = max(math.ceil(r["n"] / SHARD), min(cores, math.ceil(r["n"] / SMALL)))
-        blocks = math.ceil(r["n"] / QUERIES)
-        table.append((r["dim"], first, parts, first_q, blocks))
-        first, first_q = first + parts, first_q + blocks
+        blocks = math.ceil(r["n"] / parts / QUERIES)  # of queries per shard
+        table.append((r["dim"], first, parts, blocks))
+        first += parts
     if not table:
         none = F.lit(0).cast("long")
         return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    lay = F.broadcast(spark.createDataFrame(table, "dim int, first int, parts int, first_q int, blocks int"))
-    laid = classes.join(lay, "dim")
-    shards = laid.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("shard", "dim", "vec_id", "v", "n")
+    lay = F.broadcast(spark.createDataFrame(table, "dim int, first int, parts int, blocks int"))
+    laid = classes.join(lay, "dim").withColumn("home", F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # A number of partitions of its own: shards and cells are few bytes and much work, so they must not be put together by size.
+    wide = max(4 * cores, 2 * first)
+    shards = laid.select(F.col("home").alias("shard"), "dim", "node", "v", "n").repartition(wide, "shard")
     graphs = materialize(shards.groupBy("shard").applyInPandas(_build, "shard int, dim int, graph binary, ids binary, sizes binary, raw binary, wide boolean"), "graphs")
-    queries = laid.withColumn("qb", F.col("first_q") + F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)))
-    everywhere = graphs.join(lay, "dim").withColumn("qb", F.explode(F.sequence(F.col("first_q"), F.col("first_q") + F.col("blocks") - 1))).drop("dim", "first", "parts", "first_q", "blocks")
-    made = queries.select("shard", "qb", "vec_id", "v").groupBy("shard", "qb").cogroup(everywhere.groupBy("shard", "qb"))
-    cells = materialize(made.applyInPandas(lambda a, b: _cell(a, b, least), "vec_id long, n_links long, other long"), "cells")
-    n = cells.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    comp = connected_components(cells.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    whole = classes.join(n, "vec_id", "left").join(comp, F.col("vec_id") == F.col("node"), "left")
-    whole = whole.select("key", F.col("v").alias("_v"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    block = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int")
+    later = F.explode(F.sequence(F.col("home"), F.col("first") + F.col("parts") - 1))
+    queries = laid.withColumn("block", block).withColumn("shard", later).select("shard", "home", "block", "node", "v", "n")
+    earlier = F.explode(F.sequence(F.col("first"), F.col("shard")))
+    graphs = graphs.join(lay, "dim").withColumn("home", earlier).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("dim", "first", "parts", "blocks")
+    cell = ["shard", "home", "block"]
+    many = max(wide, min(2 * first * (first + 1), 20_000))
+    made = queries.repartition(many, *cell).groupBy(*cell).cogroup(graphs.repartition(many, *cell).groupBy(*cell))
+    cells = materialize(made.applyInPandas(lambda a, b: _cell(a, b, least), "node long, n_links long, other long"), "cells")
+    n = cells.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    comp = connected_components(cells.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    linked = materialize(classes.join(n, "node", "left").join(comp, "node", "left").select("node", "key", F.col("v").alias("_v"), F.col("vec_id").alias("least_id"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "linked")
+    # Components are made of classes, so that vectors without an id link others too; then they are named by their smallest id.
+    named = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    whole = linked.join(named, "component").select("key", "_v", "n_links", "component_id")
     # A row's class is found by hash, then by value.
     out = rows.join(whole, (rows["key"] == whole["key"]) & (F.col("v") == F.col("_v")), "left")
-    component = F.coalesce("component_id", "vec_id")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
