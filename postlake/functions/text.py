@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote, urlsplit, urlunsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -202,6 +203,30 @@ def page_fingerprint(paths: Column) -> Column:
     return F.sha2(F.to_json(paths), 256)
 
 
+_KEEP = "/?#[]@!$&'()*+,;=:%-._~"
+
+
+def ascii_url(url: str | None) -> str | None:
+    """A URL as it may be requested: the host in IDNA, all else that is not ASCII (or is a blank) percent-encoded; escapes stay. None for a host that IDNA refuses."""
+    if url is None:
+        return None
+    parts = urlsplit(url)
+    try:
+        host = (parts.hostname or "").encode("idna").decode()
+        port = f":{parts.port}" if parts.port is not None else ""
+    except (UnicodeError, ValueError):
+        return None
+    user, at, _ = parts.netloc.rpartition("@")
+    host = f"[{host}]" if ":" in host else host
+    safe = lambda s: quote(s, safe=_KEEP)
+    return urlunsplit((parts.scheme, safe(user) + at + host + port, safe(parts.path), safe(parts.query), safe(parts.fragment)))
+
+
+def request_url(url: Column) -> Column:
+    """ascii_url over a column, in Arrow batches: IDNA needs tables that the JVM functions lack."""
+    return F.pandas_udf(lambda urls: urls.map(ascii_url), "string")(url)
+
+
 def strip_tags(html: Column) -> Column:
     """Catalyst-only HTML to text: comments and tags become blanks, common references are decoded. See html.strip_html for exact parsing."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), "<[^>]+>", " ")

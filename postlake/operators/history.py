@@ -193,3 +193,8 @@ def top_rejections(rejected: DataFrame, limit: int, *order: str) -> DataFrame:
     """At most limit rows per company, in order."""
     w = Window.partitionBy("company_id").orderBy(*(order or ("seq", "job_key")))
     return rejected.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+
+
+def has_seen(jobs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (job_key) with seen: whether the store knows them."""
+    return keys.join(jobs.select("job_key", F.lit(True).alias("seen")).distinct(), "job_key", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import history, ledger
 from ..operators.ranking import evaluate
 from ..rules import RuleSet, load_rules
-from ..schema import POSTING
+from ..schema import POSTING, USABLE_RUN
 from ..sources.base import REGISTRY, RESULT, Request, Scan
 from ..sources import boards, pages  # noqa: F401  register the normalizers
 from ..state import StateStore
@@ -50,9 +50,9 @@ def selected(companies: DataFrame, ids: list[str] | None) -> DataFrame:
 def validate_companies(companies: DataFrame) -> list[str]:
     """What is wrong with a company table, in words."""
     on = companies.where("enabled")
-    unknown = on.where(~F.col("connector_type").isin(*REGISTRY)).select("id", "connector_type").limit(20).collect()
-    urls = on.select("id", F.explode(F.regexp_extract_all("connector", F.lit(r"(http://[^\"]+)"), 1)).alias("url")).limit(20).collect()
-    twice = companies.groupBy("id").count().where("count > 1").limit(20).collect()
+    unknown = on.where(~F.col("connector_type").isin(*REGISTRY)).select("id", "connector_type").orderBy("id").collect()
+    urls = on.select("id", F.explode(F.regexp_extract_all("connector", F.lit(r"(http://[^\"]+)"), 1)).alias("url")).orderBy("id", "url").collect()
+    twice = companies.groupBy("id").count().where("count > 1").orderBy("id").collect()
     return [f"{r['id']}: unknown connector type {r['connector_type']}" for r in unknown] + [f"{r['id']}: {r['url']} is not https" for r in urls] + [f"{r['id']}: listed {r['count']} times" for r in twice]
 
 
@@ -116,13 +116,14 @@ def crawl(spark: SparkSession, companies: DataFrame, payloads: DataFrame, store:
         reports.write_tables(f"{store.root}/reports/{run_id}", rows.where(F.col("emit") & F.lit(keep)), rejected, sick)
         folder = None
         if output is not None:
-            top = reports.READABLE_ROWS
-            folder = reports.export_run(output, metadata, [r.asDict() for r in reports.matches(rows).limit(top).collect()] if keep else [], [r.asDict() for r in rejected.orderBy("seq", "job_key").limit(top).collect()], [r.asDict() for r in sick.orderBy("company").limit(top).collect()], str(profile.get("reporting", {}).get("html_title", "Verified job matches")))
-        tables = {"runs": history.upsert(runs, run_row, ["run_id"]), "company_runs": history.upsert(company_runs, source_rows, ["run_id", "company_id"]), "sightings": sightings.unionByName(seen), "jobs": history.merge_jobs(jobs, decided, at, promote=keep)}
+            none = lambda: iter(())
+            matched = reports.rows_of(reports.matches(rows)) if keep else none
+            folder = reports.export_run(output, metadata, matched, reports.rows_of(rejected.orderBy("seq", "job_key")), reports.rows_of(sick.orderBy("company")), str(profile.get("reporting", {}).get("html_title", "Verified job matches")))
+        tables = {"runs": history.upsert(runs, run_row, ["run_id"]), "company_runs": history.upsert(company_runs, source_rows, ["run_id", "company_id"]), "jobs": history.merge_jobs(jobs, decided, at, promote=keep)}
         if keep:
             whole = results.where("status = 'ok'").select("company_id", "source", F.lit(rules.fingerprint).alias("profile_fingerprint"), at.alias("applied_at"))
             tables["profile_fingerprints"] = history.upsert(prints, whole, ["company_id", "source"])
-        store.commit(run_id, **tables)
+        store.commit(run_id, append={"sightings": seen}, **tables)
         return Run(metadata, decided, results, folder)
 
 
@@ -140,3 +141,16 @@ def import_receipts(store: StateStore, payload: dict[str, Any], run_id: str) ->
         raise ValueError("a receipt lacks a valid key or date")
     store.commit(run_id, receipts=history.merge_receipts(store.read("receipts"), new))
     return len(payload["jobs"])
+
+
+def acknowledge(store: StateStore, run_id: str, reported_at: datetime) -> int:
+    """Add receipts for all that a usable run reported, from its report table, whatever its size; the number of keys."""
+    usable = store.read("runs").where((F.col("run_id") == run_id) & F.col("status").isin(*USABLE_RUN))
+    if not usable.limit(1).count():
+        raise ValueError("only a usable run's report can be acknowledged")
+    told = store.spark.read.parquet(f"{store.root}/reports/{run_id}/matches")
+    new = told.select("job_key", F.to_timestamp("posted_at").alias("posted_at"), F.lit(reported_at).alias("reported_at"), F.lit(run_id).alias("report_id"))
+    if history.bad_receipts(new).limit(1).count():
+        raise ValueError("a reported job lacks a valid key or date")
+    store.commit(f"ack-{run_id}", receipts=history.merge_receipts(store.read("receipts"), new))
+    return new.count()

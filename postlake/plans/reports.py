@@ -8,7 +8,8 @@ import html
 import io
 import json
 import re
-from collections.abc import Iterable, Sequence
+import shutil
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -48,10 +49,6 @@ def matches(rows: DataFrame) -> DataFrame:
     return rows.where("emit").orderBy(priority_rank(F.col("apply_priority")), F.desc("match_score"), "company", "job_key")
 
 
-#: A readable report holds so many rows of each kind at most, best first; the tables beside it hold all.
-READABLE_ROWS = 10_000
-
-
 def write_tables(path: str, matched: DataFrame, rejected: DataFrame, health: DataFrame) -> None:
     """All rows of a run's three reports as tables, written by the executors."""
     matched.select(*MATCH_COLUMNS, "job_key").write.parquet(f"{path}/matches")
@@ -59,60 +56,82 @@ def write_tables(path: str, matched: DataFrame, rejected: DataFrame, health: Dat
     health.select(*HEALTH_COLUMNS).write.parquet(f"{path}/health")
 
 
-def to_csv(rows: Iterable[dict[str, Any]], columns: Sequence[str]) -> str:
-    out = io.StringIO()
-    w = csv.DictWriter(out, columns, extrasaction="ignore", lineterminator="\r\n")
-    w.writeheader()
-    w.writerows({k: "" if r.get(k) is None else r[k] for k in columns} for r in rows)
-    return out.getvalue()
-
-
-def to_json(metadata: dict[str, Any], rows: list[dict[str, Any]]) -> str:
-    return json.dumps({"metadata": metadata, "jobs": rows}, indent=2, ensure_ascii=False, default=str) + "\n"
+Rows = Callable[[], Iterable[dict[str, Any]]]
 
 
-def to_markdown(title: str, metadata: dict[str, Any], rows: list[dict[str, Any]]) -> str:
-    out = [f"# {title}", "", f"Run `{metadata['run_id']}`, mode **{metadata['mode']}**, started {metadata['started_at']}: **{len(rows)}** new or reposted.", ""]
-    if not rows:
-        out += ["Nothing cleared every gate in this run. See company_health.csv for sources that failed or are disabled.", ""]
-    for p, label in LABELS.items():
-        own = [r for r in rows if r["apply_priority"] == p]
-        out += [f"## {p} - {label}", ""] if own else []
-        for r in own:
-            out += [f"### [{r['company']} - {r['title']}]({r['source_url']})", ""]
-            facts = {"Location": r["location"], "Freshness": f"{r['age']} ({r['posting_date_kind']}, {r['posting_date_confidence']})", "Match": f"{r['match_score']:.1f}/100 - {r['why_matches']}", "Sponsorship": f"{r['sponsorship_confidence']} ({r['sponsorship_score']:.2f}); {r['role_sponsorship_signal']}", "Evidence": r["sponsorship_evidence"], "Event": r["event_type"], "Apply": r["apply_url"] or r["source_url"]}
-            out += [f"- **{k}:** {v}" for k, v in facts.items()] + [""]
-    return "\n".join(out).rstrip() + "\n"
+def rows_of(df: DataFrame) -> Rows:
+    """Rows of an ordered table, fetched partition by partition each time they are asked for, so that reports of any length can be written."""
+    return lambda: (r.asDict() for r in df.toLocalIterator())
 
 
-def to_html(title: str, metadata: dict[str, Any], rows: list[dict[str, Any]]) -> str:
+def csv_lines(rows: Iterable[dict[str, Any]], columns: Sequence[str]) -> Iterator[str]:
+    out = io.StringIO()
+    w = csv.DictWriter(out, columns, extrasaction="ignore", lineterminator="\r\n")
+    w.writeheader()
+    for r in rows:
+        w.writerow({k: "" if r.get(k) is None else r[k] for k in columns})
+        yield out.getvalue()
+        out.seek(0)
+        out.truncate()
+    yield out.getvalue()
+
+
+def json_parts(metadata: dict[str, Any], rows: Iterable[dict[str, Any]]) -> Iterator[str]:
+    """{"metadata", "jobs"} with an indent of two, job by job."""
+    text = lambda value, by: json.dumps(value, indent=2, ensure_ascii=False, default=str).replace("\n", "\n" + " " * by)
+    yield '{\n  "metadata": ' + text(metadata, 2) + ',\n  "jobs": ['
+    none = True
+    for r in rows:
+        yield ("" if none else ",") + "\n    " + text(r, 4)
+        none = False
+    yield ("]" if none else "\n  ]") + "\n}\n"
+
+
+def markdown_parts(title: str, metadata: dict[str, Any], rows: Iterable[dict[str, Any]]) -> Iterator[str]:
+    """Rows come by priority; each priority has a heading."""
+    yield f"# {title}\n\nRun `{metadata['run_id']}`, mode **{metadata['mode']}**, started {metadata['started_at']}: **{metadata['emitted_jobs']}** new or reposted.\n"
+    last = None
+    for r in rows:
+        if r["apply_priority"] != last:
+            last = r["apply_priority"]
+            yield f"\n## {last} - {LABELS.get(last, '')}\n"
+        facts = {"Location": r["location"], "Freshness": f"{r['age']} ({r['posting_date_kind']}, {r['posting_date_confidence']})", "Match": f"{r['match_score']:.1f}/100 - {r['why_matches']}", "Sponsorship": f"{r['sponsorship_confidence']} ({r['sponsorship_score']:.2f}); {r['role_sponsorship_signal']}", "Apply": r["apply_url"] or r["source_url"]}
+        yield f"\n### [{r['company']} - {r['title']}]({r['source_url']})\n\n" + "".join(f"- **{k}:** {v}\n" for k, v in facts.items())
+    if last is None:
+        yield "\nNothing cleared every gate in this run. See company_health.csv for sources that failed or are disabled.\n"
+
+
+def html_parts(title: str, metadata: dict[str, Any], rows: Iterable[dict[str, Any]]) -> Iterator[str]:
     e = lambda v: html.escape(str(v if v is not None else ""), quote=True)
-    cards = "".join(
-        f'<section class="{e(r["apply_priority"].lower())}"><h2><a href="{e(r["source_url"])}">{e(r["title"])}</a></h2><p>{e(r["apply_priority"])} · {e(r["company"])} · {e(r["location"])} · {e(r["age"])} · {e(r["event_type"])}</p>'
-        f'<p>Match {r["match_score"]:.1f} · Sponsorship {r["sponsorship_score"]:.2f}</p><p>{e(r["why_matches"])}</p><p>{e(r["sponsorship_evidence"])}</p><a href="{e(r["apply_url"] or r["source_url"])}">Apply</a></section>'
-        for r in rows
-    )
-    empty = "" if rows else "<p>Nothing cleared every gate in this run.</p>"
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(metadata["mode"])} run, {len(rows)} emitted</p>{cards}{empty}</body></html>'
-
-
-def export_run(output: Path, metadata: dict[str, Any], matched: list[dict[str, Any]], rejected: list[dict[str, Any]], health: list[dict[str, Any]], title: str) -> Path:
-    """Write a run's immutable folder, then replace the latest files. The rows are reports: capped and filtered, read by people."""
+    yield f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(metadata["mode"])} run, {e(metadata["emitted_jobs"])} emitted</p>'
+    none = True
+    for r in rows:
+        none = False
+        yield (
+            f'<section class="{e(r["apply_priority"].lower())}"><h2><a href="{e(r["source_url"])}">{e(r["title"])}</a></h2><p>{e(r["apply_priority"])} · {e(r["company"])} · {e(r["location"])} · {e(r["age"])} · {e(r["event_type"])}</p>'
+            f'<p>Match {r["match_score"]:.1f} · Sponsorship {r["sponsorship_score"]:.2f}</p><p>{e(r["why_matches"])}</p><p>{e(r["sponsorship_evidence"])}</p><a href="{e(r["apply_url"] or r["source_url"])}">Apply</a></section>'
+        )
+    yield ("<p>Nothing cleared every gate in this run.</p>" if none else "") + "</body></html>"
+
+
+def export_run(output: Path, metadata: dict[str, Any], matched: Rows, rejected: Rows, health: Rows, title: str) -> Path:
+    """Write a run's immutable folder row by row, then replace the latest files. All rows are written."""
     run = output / "runs" / metadata["run_id"]
     run.mkdir(parents=True, exist_ok=False)
     files = {
-        "matches.csv": to_csv(matched, MATCH_COLUMNS),
-        "matches.json": to_json(metadata, matched),
-        "daily_report.md": to_markdown(title, metadata, matched),
-        "daily_report.html": to_html(title, metadata, matched),
-        "rejections_audit.csv": to_csv(rejected, REJECTION_COLUMNS),
-        "company_health.csv": to_csv(health, HEALTH_COLUMNS),
+        "matches.csv": csv_lines(matched(), MATCH_COLUMNS),
+        "matches.json": json_parts(metadata, matched()),
+        "daily_report.md": markdown_parts(title, metadata, matched()),
+        "daily_report.html": html_parts(title, metadata, matched()),
+        "rejections_audit.csv": csv_lines(rejected(), REJECTION_COLUMNS),
+        "company_health.csv": csv_lines(health(), HEALTH_COLUMNS),
     }
-    for name, body in files.items():
-        (run / name).write_text(body, encoding="utf-8")
+    for name, parts in files.items():
+        with (run / name).open("w", encoding="utf-8", newline="") as f:
+            f.writelines(parts)
     for name, source in {"latest.csv": "matches.csv", "latest.json": "matches.json", "latest.md": "daily_report.md", "latest.html": "daily_report.html", "company_health.csv": "company_health.csv"}.items():
         new = output / f".{name}.new"
-        new.write_text(files[source], encoding="utf-8")
+        shutil.copyfile(run / source, new)
         new.replace(output / name)
     return run
 

@@ -10,8 +10,6 @@ from ..functions.text import FLAGS, host_of, https_url, path_of
 from .base import Request, Scan, date, details, first_of, number, option, posting, register, results, say, text, within
 
 NODE = "array<struct<loc:string,lastmod:string>>"
-#: Levels of nested sitemap indexes that are followed.
-DEPTH = 3
 
 
 def nodes(df: DataFrame, row: str) -> DataFrame:
@@ -36,8 +34,8 @@ def candidates(r: Request) -> DataFrame:
     links = nodes(maps, "sitemap").join(F.broadcast(companies), "company_id").withColumn("loc", upgrade(F.col("loc"))).withColumn("modified", date(F.col("lastmod"), r.now))
     links = links.where("loc != '' and (modified is null or modified >= since - interval 2 days)").select("company_id", "key", "loc")
     reached = level
-    for _ in range(DEPTH):  # indexes nest a fixed number of levels deep, so this is a fixed number of joins
-        level = level.join(links, ["company_id", "key"]).select("company_id", F.col("loc").alias("key"))
+    while not level.isEmpty():  # one join per level of nested indexes; one that was reached before (a cycle) is not followed again
+        level = level.join(links, ["company_id", "key"]).select("company_id", F.col("loc").alias("key")).distinct().join(reached, ["company_id", "key"], "left_anti")
         reached = reached.unionByName(level)
     df = nodes(maps.join(reached, ["company_id", "key"], "left_semi"), "url").join(F.broadcast(companies), "company_id")
     df = df.withColumn("loc", upgrade(F.col("loc"))).withColumn("modified", date(F.col("lastmod"), r.now))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import history
-from postlake.plans.crawl import crawl, import_receipts
+from postlake.plans.crawl import acknowledge, crawl, import_receipts
 from postlake.plans.reports import MATCH_COLUMNS, last_error, load_report, merge_section, receipts_baseline, status_page, summary
 from postlake.sources.base import PAYLOAD
 from postlake.sources.files import companies
@@ -89,6 +89,52 @@ def test_lock_backup_and_restore(spark, tmp_path):
         other.restore(f"{tmp_path}/backup")
 
 
+def test_a_lock_that_was_left_is_taken_over_once(spark, tmp_path):
+    import os
+    import time
+
+    store = StateStore(spark, f"{tmp_path}/state")
+    dead = store.lock("dead")
+    dead.__enter__()
+    old = time.time() - 7 * 3600
+    os.utime(tmp_path / "state/LOCK", (old, old))
+    with store.lock("next"):
+        with pytest.raises(RuntimeError, match="next"):
+            store.lock("third").__enter__()
+        dead.__exit__()  # it comes back to life, but the lock is no longer its own
+        assert "next" in (tmp_path / "state/LOCK").read_text()
+    assert not (tmp_path / "state/LOCK").exists()
+
+
+def test_commits_add_parts_and_never_replace_a_manifest(spark, tmp_path, monkeypatch):
+    import postlake.state as state
+
+    monkeypatch.setattr(state, "PARTS", 3)
+    store = StateStore(spark, f"{tmp_path}/state")
+    row = lambda k: spark.createDataFrame([(f"k{k}", START, START, "r")], state.STATE["receipts"])
+    for k in range(5):
+        store.commit(f"r{k}", append={"receipts": row(k)})
+        assert sorted(r["job_key"] for r in store.read("receipts").collect()) == [f"k{j}" for j in range(k + 1)]
+    assert len(store.manifest()["tables"]["receipts"]) == 2 and len(list((tmp_path / "state/manifests").glob("0*.json"))) == 5
+    number = store._newest()
+    with pytest.raises(FileExistsError):
+        store._publish("other", {}, number - 1)  # a writer that did not see the last commit
+    assert store.manifest()["run_id"] == "r4"
+
+
+def test_a_report_of_any_length_is_acknowledged(spark, tmp_path):
+    store = StateStore(spark, f"{tmp_path}/state")
+    run = crawl(spark, table(spark, "acme"), board(spark, ("acme", 1, "2024-01-19"), ("acme", 2, "2024-01-18")), store, PROFILE, START, output=tmp_path / "out")
+    told = json.loads((run.folder / "matches.json").read_text())
+    assert [j["source_job_id"] for j in told["jobs"]] and len(told["jobs"]) == 2 == told["metadata"]["emitted_jobs"]
+    assert "## P" in (run.folder / "daily_report.md").read_text() and (run.folder / "daily_report.html").read_text().count("<section") == 2
+    assert acknowledge(store, run.metadata["run_id"], START) == 2 and store.read("receipts").count() == 2
+    with pytest.raises(ValueError):
+        acknowledge(store, "none", START)
+    seen = history.has_seen(store.read("jobs"), store.read("jobs").select("job_key").unionByName(spark.createDataFrame([("x",)], "job_key string")))
+    assert sorted(r["seen"] for r in seen.collect()) == [False, True, True]
+
+
 def test_bootstrap_takes_recent_checked_backups_only(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/state")
     crawl(spark, table(spark, "acme"), board(spark, ("acme", 1, "2024-01-19")), store, PROFILE, START)
@@ -99,6 +145,14 @@ def test_bootstrap_takes_recent_checked_backups_only(spark, tmp_path):
     assert fresh("a").manifest()["tables"] == {}
     assert fresh("a").bootstrap(f"{tmp_path}/backup", START + timedelta(hours=71)) == "restored"
     assert fresh("a").bootstrap(f"{tmp_path}/backup", START) == "present"
+    part = next((tmp_path / "backup/jobs").rglob("part-*.parquet"))
+    store.read("jobs").withColumn("title", F.lit("changed")).coalesce(1).write.parquet(f"{tmp_path}/other")  # as many rows, other content
+    whole = part.read_bytes()
+    part.write_bytes(next((tmp_path / "other").rglob("part-*.parquet")).read_bytes())
+    for crc in (tmp_path / "backup").rglob(".*.crc"):
+        crc.unlink()
+    assert fresh("c").bootstrap(f"{tmp_path}/backup", START) == "damaged"
+    part.write_bytes(whole)
     manifest = tmp_path / "backup/MANIFEST"
     manifest.write_text(manifest.read_text().replace('"jobs": 1', '"jobs": 2'))
     (tmp_path / "backup/.MANIFEST.crc").unlink(missing_ok=True)
