@@ -18,9 +18,9 @@ def source_status(results: DataFrame) -> DataFrame:
     return results.withColumn("status", s)
 
 
-def run_statistics(sources: DataFrame) -> DataFrame:
-    """One row from sources with status and fetched_jobs; all that is not ok counts as failed, degraded ones besides."""
-    return sources.agg(
+def run_statistics(sources: DataFrame, *by: str) -> DataFrame:
+    """One row (or one by the columns named) from sources with status and fetched_jobs; all that is not ok counts as failed, degraded ones besides."""
+    return sources.groupBy(*by).agg(
         F.count_if(F.col("status") == "ok").alias("companies_ok"),
         F.count_if(F.col("status") != "ok").alias("companies_failed"),
         F.count_if(F.col("status") == "degraded").alias("companies_degraded"),

@@ -40,11 +40,16 @@ def selected(companies: DataFrame, ids: list[str] | None) -> DataFrame:
     on = companies.where("enabled")
     if not ids:
         return on
-    on = on.where(F.col("id").isin(*ids))
-    missing = sorted(set(ids) - {r["id"] for r in on.select("id").limit(len(ids)).collect()})
+    wanted = on.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "id string")
+    missing = sorted(r["id"] for r in absent(wanted, on).collect())
     if missing:
         raise ValueError(f"unknown or disabled companies: {missing}")
-    return on
+    return on.where(F.col("id").isin(*ids))
+
+
+def absent(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """Ids that are wanted but not there, each once."""
+    return wanted.select("id").distinct().join(there.select("id"), "id", "left_anti")
 
 
 def validate_companies(companies: DataFrame) -> list[str]:

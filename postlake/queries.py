@@ -19,6 +19,7 @@ from .functions import experience, html, text
 from .operators import evidence, history, ledger, ranking, robots
 from .operators.location import location_status
 from .plans import reports, universe
+from .plans.crawl import absent, scan
 from .rules import RuleSet, load_rules, sample_profile, sample_rules
 from .sources import boards, files, pages  # noqa: F401  register the normalizers
 from .sources.base import PAYLOAD, Request, normalizer, within
@@ -153,11 +154,11 @@ def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash([F.col("lang"), F.col("source"), F.col("text"), F.lit("")]).alias("content_hash"))
 
 
-@query("SELECT doc_id, source, n_chars, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 5")
+@query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 5")
 def q_topn_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: the report's five longest per source."""
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.row_number().over(w).alias("rn")).where("rn <= 5")
+    """The report's five longest per source."""
+    docs = table(spark, sf_dir, "documents").withColumns({"company_id": F.col("source"), "shorter": -F.col("n_chars")})
+    return history.top_rejections(docs, 5, "shorter", "doc_id").select("doc_id", "source", "n_chars")
 
 
 # --- pages --------------------------------------------------------------------------------------------------------------------
@@ -268,9 +269,12 @@ def q_receipts_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
 def q_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2: one emission per key, the first."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id", "ts")
+    """O2: of a key's postings in a run the first that may be emitted is."""
+    e = table(spark, sf_dir, "events").withColumns({"job_key": F.concat_ws("|", "user_id", "event_type"), "posted_at": F.col("ts").cast("timestamp"), "seq": F.struct("ts", "event_id")})
+    e = e.withColumns({"mode": F.lit("initial"), "accepted": F.lit(True), "raw": F.lit("{}"), "since": F.lit(D(2000, 1, 1)), "posting_date_confidence": F.lit("high"), "content_hash": F.lit("h"), "rejection_reasons": F.array().cast("array<string>")})
+    none = spark.createDataFrame([], "job_key string, posted_at timestamp, first_seen_at timestamp, content_hash string")
+    out = history.decide_events(e, none, none.select("job_key", "posted_at"), none.select("job_key"), load_rules({}), F.lit(D(2030, 1, 1)))
+    return out.where("emit").select("user_id", "event_type", "event_id", "ts")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -284,13 +288,17 @@ def q_sightings_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("day", "event_type").agg(F.count("*").alias("sightings"), F.countDistinct("user_id").alias("keys"), F.count_if(F.col("value") > 50).alias("emitted"))
 
 
-@query("WITH m AS (SELECT event_type, user_id, min(ts) AS newest FROM events GROUP BY ALL) SELECT event_type, user_id, newest, lag(newest) OVER (PARTITION BY event_type ORDER BY user_id) IS NOT NULL AND newest < TIMESTAMP '2024-01-02' AND lag(newest) OVER (PARTITION BY event_type ORDER BY user_id) < TIMESTAMP '2024-01-02' AS stop FROM m")
+@query(
+    """WITH m AS (SELECT event_type AS company_id, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') AS page, max(ts) AS newest, min(ts) AS oldest FROM events GROUP BY ALL),
+o AS (SELECT *, newest < TIMESTAMP '2024-01-19' AS old, coalesce(newest > lag(oldest) OVER w + INTERVAL 24 HOUR, false) AS jump FROM m WINDOW w AS (PARTITION BY company_id ORDER BY page)),
+p AS (SELECT *, old AND coalesce(lag(old) OVER w, false) AND NOT max(jump) OVER (PARTITION BY company_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS stop FROM o WINDOW w AS (PARTITION BY company_id ORDER BY page))
+SELECT company_id, page, newest, coalesce(max(stop) OVER (PARTITION BY company_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM p"""
+)
 def q_page_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages in a row with nothing newer than the horizon end a listing."""
-    pages_ = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("ts").alias("newest"))
-    w = Window.partitionBy("event_type").orderBy("user_id")
-    old = F.col("newest") < F.expr("timestamp_ntz'2024-01-02'")
-    return pages_.withColumn("old", old).select("event_type", "user_id", "newest", (F.col("old") & F.coalesce(F.lag("old").over(w), F.lit(False))).alias("stop"))
+    e = table(spark, sf_dir, "events").withColumns({"company_id": F.col("event_type"), "page": F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).cast("long"), "at": F.col("ts").cast("timestamp")})
+    ages = e.groupBy("company_id", "page").agg(F.max("at").alias("newest"), F.min("at").alias("oldest"), F.lit(0).alias("unread"), F.lit(D(2024, 1, 20)).alias("since"), F.first("page").cast("string").alias("print"))
+    return boards.list_ends(ages).select("company_id", "page", F.col("newest").cast("timestamp_ntz").alias("newest"), "ended")
 
 
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS company_id, s <= 10 AND wanted AS taken, wanted AND s > 10 AS over FROM (SELECT *, value > 10 AS wanted, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)")
@@ -357,15 +365,15 @@ def q_profile_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "mode", F.col("since").cast("timestamp_ntz").alias("since"), "backfill")
 
 
-_RUN_SQL = "r AS (SELECT strftime(o_orderdate, '%Y-%m') AS run, count(*) FILTER (WHERE o_orderstatus = 'F') AS companies_ok, count(*) FILTER (WHERE o_orderstatus <> 'F') AS companies_failed, count(*) FILTER (WHERE o_orderstatus = 'O') AS companies_degraded FROM orders GROUP BY 1)"
+_RUN_SQL = "r AS (SELECT strftime(o_orderdate, '%Y-%m') AS run, count(*) FILTER (WHERE o_orderstatus = 'F') AS companies_ok, count(*) FILTER (WHERE o_orderstatus <> 'F') AS companies_failed, count(*) FILTER (WHERE o_orderstatus = 'O') AS companies_degraded, CAST(sum(o_custkey) AS BIGINT) AS fetched_jobs FROM orders GROUP BY 1)"
 
 
 @query(f"WITH {_RUN_SQL} SELECT *, CASE WHEN companies_ok + companies_degraded = 0 THEN 'failed' WHEN companies_failed > 0 THEN 'partial' ELSE 'success' END AS status FROM r")
 def q_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A2: what a month's orders, as sources, make of their run."""
-    o = table(spark, sf_dir, "orders").withColumn("run", F.date_format("o_orderdate", "yyyy-MM"))
-    n = o.groupBy("run").agg(F.count_if(F.col("o_orderstatus") == "F").alias("companies_ok"), F.count_if(F.col("o_orderstatus") != "F").alias("companies_failed"), F.count_if(F.col("o_orderstatus") == "O").alias("companies_degraded"))
-    return n.withColumn("status", ledger.run_status(F.col("companies_ok"), F.col("companies_degraded"), F.col("companies_failed")))
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "degraded").otherwise("error")
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run"), status.alias("status"), F.col("o_custkey").alias("fetched_jobs"))
+    return ledger.run_statistics(o, "run").withColumn("status", ledger.run_status(F.col("companies_ok"), F.col("companies_degraded"), F.col("companies_failed")))
 
 
 @query(
@@ -389,11 +397,50 @@ SELECT CAST(coalesce(b.k, n.k) AS VARCHAR) AS job_key, greatest(b.d, n.d) AS pos
 )
 def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored keys joined in full with a run's, dates only moving on."""
+    return _merged_jobs(spark, sf_dir, True)
+
+
+@query(
+    """WITH b AS (SELECT o_custkey AS k, max(o_orderdate) AS d, min(o_orderdate) AS f FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_orderdate) AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+SELECT CAST(coalesce(b.k, n.k) AS VARCHAR) AS job_key, coalesce(b.d, n.d) AS posted_at, coalesce(b.f, TIMESTAMP '2024-01-20 12:00:00') AS first_seen_at, CASE WHEN n.k IS NULL THEN b.d ELSE TIMESTAMP '2024-01-20 12:00:00' END AS last_seen_at, true AS active FROM b FULL JOIN n ON b.k = n.k"""
+)
+def q_failed_run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: a failed run is seen, but moves no date that is stored."""
+    return _merged_jobs(spark, sf_dir, False)
+
+
+@query(
+    """WITH new AS (SELECT CAST(user_id AS VARCHAR) AS company_id, event_type AS source, max(value) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL), old AS (SELECT CAST(user_id AS VARCHAR) AS company_id, event_type AS source, max(value) AS value FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE (company_id, source) NOT IN (SELECT (company_id, source) FROM new)"""
+)
+def q_upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's rows in the place of stored ones of their key."""
+    e = table(spark, sf_dir, "events")
+    part = lambda cond: e.where(cond).groupBy(F.col("user_id").cast("string").alias("company_id"), F.col("event_type").alias("source")).agg(F.max("value").alias("value"))
+    return history.upsert(part("ts < timestamp_ntz'2024-01-20'"), part("ts >= timestamp_ntz'2024-01-20'"), ["company_id", "source"])
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS job_key, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AS seen FROM customer")
+def q_has_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keys the store knows."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("job_key"))
+    return history.has_seen(table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").cast("string").alias("job_key")), keys)
+
+
+@query("SELECT n_name AS a, coalesce(nullif(n_name, 'FRANCE'), nullif(r_name, 'ASIA'), 'none') AS first FROM nation JOIN region ON r_regionkey = n_regionkey")
+def q_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first value that is neither null nor empty."""
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    blank = lambda c, v: F.when(F.col(c) != v, F.col(c)).otherwise("")
+    return df.select(F.col("n_name").alias("a"), text.present(blank("n_name", "FRANCE"), blank("r_name", "ASIA"), default="none").alias("first"))
+
+
+def _merged_jobs(spark: SparkSession, sf_dir: str, promote: bool) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")).withColumn("job_key", F.col("o_custkey").cast("string"))
     blank = {c: F.lit("") for c in ("company_id", "source_job_id", "source_url", "title", "location", "content_hash")}
     old = o.where("at < timestamp'1996-01-01'").groupBy("job_key").agg(F.max("at").alias("posted_at"), F.min("at").alias("first_seen_at")).withColumn("last_seen_at", F.col("posted_at")).withColumns(blank).withColumn("last_emitted_at", F.lit(None).cast("timestamp")).withColumn("active", F.lit(True))
     new = o.where("at >= timestamp'1996-01-01'").groupBy("job_key").agg(F.max("at").alias("posted_at")).withColumns(blank).withColumn("emit", F.lit(True)).withColumn("seq", F.lit(0))
-    out = history.merge_jobs(old, new, F.lit(NOW), promote=True)
+    out = history.merge_jobs(old, new, F.lit(NOW), promote=promote)
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("job_key", ntz("posted_at"), ntz("first_seen_at"), ntz("last_seen_at"), "active")
 
@@ -421,17 +468,20 @@ def q_lca_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rubric(df, "l_suppkey", F.col("l_linestatus") == "F", F.col("l_returnflag") == "R", F.col("l_quantity").cast("long"), (300, 100), (280, 50))
 
 
-@query("SELECT 'region' AS source, CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS company_id, lower(r_name) AS source, 'ValueError: unknown connector type: ' || lower(r_name) AS error FROM nation JOIN region ON r_regionkey = n_regionkey")
 def q_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1."""
-    part = lambda t, k, n: table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(k).cast("long").alias("id"), F.col(n).alias("name"))
-    return part("region", "r_regionkey", "r_name").unionByName(part("nation", "n_nationkey", "n_name")).unionByName(part("supplier", "s_suppkey", "s_name"))
+    """The results of all connector types in one table; types without a normalizer fail company by company."""
+    companies = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    companies = companies.select(F.col("n_nationkey").cast("string").alias("id"), F.lower("r_name").alias("connector_type"))
+    done = scan(spark, companies, spark.createDataFrame([], PAYLOAD), spark.createDataFrame([], "company_id string, source_url string"), load_rules({}), F.lit(NOW))
+    return done.results.select("company_id", "source", "error")
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS id FROM customer EXCEPT SELECT CAST(o_custkey AS BIGINT) FROM orders")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer EXCEPT SELECT CAST(s_suppkey * 3 AS VARCHAR) FROM supplier")
 def q_except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted but not there."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id")).exceptAll(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("id")).distinct())
+    ids = lambda t, c: table(spark, sf_dir, t).select(c.cast("string").alias("id"))
+    return absent(ids("customer", F.col("c_custkey")), ids("supplier", F.col("s_suppkey").cast("long") * 3))
 
 
 @query(
@@ -795,6 +845,38 @@ def q_health_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.failures(spark.createDataFrame(HEALTH, "company string, enabled boolean, status string")).select("company", "status")
 
 
+ASKED = [
+    (1, "https://bücher.example/über uns?q=straße&x=%20#é", "https://xn--bcher-kva.example/%C3%BCber%20uns?q=stra%C3%9Fe&x=%20#%C3%A9"), (2, "https://h.example:8443/a%2Fb", "https://h.example:8443/a%2Fb"), (3, "http://u@h.example/", "http://u@h.example/"), (4, None, None), (5, "https://" + "x" * 70 + ".example/", None),
+]
+
+
+@literal("id int, url string", ASKED, 2, "id INTEGER, request VARCHAR")
+def q_request_url(df: DataFrame) -> DataFrame:
+    """X22."""
+    return df.select("id", text.request_url(F.col("url")).alias("request"))
+
+
+_ROW = {"company": "A,B", "title": 'The "x"', "location": "é", "apply_priority": "P0", "source_url": "https://h/1", "apply_url": "", "age": "today", "posting_date_kind": "k", "posting_date_confidence": "high", "match_score": 81.25, "why_matches": "w", "sponsorship_confidence": "high", "sponsorship_score": 0.8, "role_sponsorship_signal": "not_stated", "sponsorship_evidence": "<s>", "event_type": "new", "job_key": "j"}
+_META = {"run_id": "r1", "mode": "initial", "started_at": "t", "emitted_jobs": 1}
+FILES = [
+    ("csv", 'company,title,location,posted_at,source_url,match_score,sponsorship_score,rejection_reasons,source,source_job_id\r\n"A,B","The ""x""",é,,https://h/1,81.25,0.8,,,\r\n'),
+    ("json", json.dumps({"metadata": _META, "jobs": [_ROW]}, indent=2, ensure_ascii=False) + "\n"),
+    ("json, none", json.dumps({"metadata": _META, "jobs": []}, indent=2, ensure_ascii=False) + "\n"),
+    ("markdown", '# T\n\nRun `r1`, mode **initial**, started t: **1** new or reposted.\n\n## P0 - Apply immediately\n\n### [A,B - The "x"](https://h/1)\n\n- **Location:** é\n- **Freshness:** today (k, high)\n- **Match:** 81.2/100 - w\n- **Sponsorship:** high (0.80); not_stated\n- **Apply:** https://h/1\n'),
+    ("html", '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>T</title></head><body><h1>T</h1><p>initial run, 1 emitted</p><section class="p0"><h2><a href="https://h/1">The &quot;x&quot;</a></h2><p>P0 · A,B · é · today · new</p><p>Match 81.2 · Sponsorship 0.80</p><p>w</p><p>&lt;s&gt;</p><a href="https://h/1">Apply</a></section></body></html>'),
+]
+
+
+@query(values("name VARCHAR, body VARCHAR", FILES))
+def q_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 to K5: the files of a report, row by row."""
+    made = {
+        "csv": reports.csv_lines([_ROW], reports.REJECTION_COLUMNS), "json": reports.json_parts(_META, [_ROW]), "json, none": reports.json_parts(_META, []),
+        "markdown": reports.markdown_parts("T", _META, [_ROW]), "html": reports.html_parts("T", _META, [_ROW]),
+    }
+    return spark.createDataFrame([(k, "".join(v)) for k, v in made.items()], "name string, body string")
+
+
 FETCHED = [("u", "e1", D(2024, 1, 1), 200, "one"), ("u", None, D(2024, 1, 2), 304, ""), ("v", "e2", D(2024, 1, 1), 200, "two"), ("v", "e3", D(2024, 1, 3), 200, "three"), ("w", None, D(2024, 1, 1), 404, "gone")]
 
 

@@ -154,6 +154,17 @@ def smartrecruiters(r: Request) -> Scan:
     return Scan(out, results(r, "smartrecruiters", out, n, warning, ~(F.coalesce("short", F.lit(False)) | bad | skips), ~allowed, "Disabled unless access_policy=documented_public_api is set."))
 
 
+def list_ends(ages: DataFrame) -> DataFrame:
+    """Pages of lists (company_id, page, print, newest, oldest, unread, since) with ended: a page of the same print came before, or two old pages in a row, as long as dates only fall and all were read."""
+    w = Window.partitionBy("company_id").orderBy("page")
+    again = F.row_number().over(Window.partitionBy("company_id", "print").orderBy("page")) > 1
+    old = F.coalesce(F.col("newest") < F.col("since") - F.expr(DAY), F.lit(False))
+    ages = ages.withColumn("again", again).withColumn("old", old).withColumn("jumps", F.coalesce(F.col("newest") > F.lag("oldest").over(w) + F.expr("interval 24 hours"), F.lit(False)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ages = ages.withColumn("steady", ~F.max("jumps").over(upto) & (F.sum("unread").over(upto) == 0)).withColumn("stop", F.col("steady") & F.col("old") & F.coalesce(F.lag("old").over(w), F.lit(False)))
+    return ages.withColumn("ended", F.coalesce(F.max(F.col("stop")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) | F.max("again").over(upto))
+
+
 @register("workday")
 def workday(r: Request) -> Scan:
     """Pages of summaries joined to details; needs access_approved; a repeated page and two old pages in a row end the list."""
@@ -161,13 +172,7 @@ def workday(r: Request) -> Scan:
     every = _lists(r, "jobPostings").where(approved).withColumn("posted_age", date(F.get_json_object("item", "$.postedOn"), r.now)).withColumn("path", text("$.externalPath"))
     ages = every.groupBy("company_id", "page").agg(F.max("posted_age").alias("newest"), F.min("posted_age").alias("oldest"), F.count_if(F.col("posted_age").isNull()).alias("unread"), F.first("since").alias("since"), F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("paths"))
     ages = ages.withColumn("print", F.sha2(F.to_json(F.transform("paths", lambda p: p["path"])), 256))
-    w = Window.partitionBy("company_id").orderBy("page")
-    again = F.row_number().over(Window.partitionBy("company_id", "print").orderBy("page")) > 1
-    old = F.coalesce(F.col("newest") < F.col("since") - F.expr(DAY), F.lit(False))
-    ages = ages.withColumn("again", again).withColumn("old", old).withColumn("jumps", F.coalesce(F.col("newest") > F.lag("oldest").over(w) + F.expr("interval 24 hours"), F.lit(False)))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ages = ages.withColumn("steady", ~F.max("jumps").over(upto) & (F.sum("unread").over(upto) == 0)).withColumn("stop", F.col("steady") & F.col("old") & F.coalesce(F.lag("old").over(w), F.lit(False)))
-    ages = ages.withColumn("ended", F.coalesce(F.max(F.col("stop")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) | F.max("again").over(upto))
+    ages = list_ends(ages)
     df = every.join(ages.select("company_id", "page", "ended"), ["company_id", "page"]).where("not ended")
     wanted = likely_detail(text("$.title"), r.rules) & (F.col("posted_age").isNull() | (F.col("posted_age") >= F.col("since") - F.expr("interval 2 days")))
     taken, over = within(option("max_detail_requests", "int", 120), [F.col("seq")], wanted)
