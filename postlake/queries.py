@@ -21,6 +21,7 @@ from .operators.location import location_status
 from .plans import reports, universe
 from .plans.crawl import absent, scan
 from .rules import RuleSet, load_rules, sample_profile, sample_rules
+from .ship import shared_dir
 from .sources import boards, files, pages  # noqa: F401  register the normalizers
 from .sources.base import PAYLOAD, Request, normalizer, within
 from .streaming import events as streams
@@ -916,7 +917,7 @@ SELECT *, CASE WHEN watermark IS NULL THEN 'new' WHEN posted_at > watermark + IN
 )
 def q_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same classification as a stream with a watermark per key as state, read until the input is used up."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/streams/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     keyed = stream.select(F.concat_ws("|", "user_id", "event_type").alias("job_key"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_id").alias("seq"))
     streams.to_table(streams.classify(keyed), f"{base}/checkpoint", f"{base}/table")

@@ -1,4 +1,4 @@
-"""Make the package importable on executors that don't have it."""
+"""What a cluster needs: the folder that all share, and the package on executors that don't have it."""
 
 from __future__ import annotations
 
@@ -11,6 +11,22 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Used only where the session names no shared folder and all of Spark is on this machine (tests).
+LOCAL_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset on one machine.
+
+    RuntimeError on a cluster without the setting: executors would not see one another's files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = LOCAL_DIR
+    return base.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
