@@ -8,27 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+from ..ship import shared_dir
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = DEFAULT_CHECKPOINT_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage is cut there, so work after this line is not repeated when an executor is lost, and nothing is kept on
-    executors. Tables of a session are removed at its end (or by release()).
+    executors. Tables of a session are removed at its end, or by release() once a result has been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
