@@ -77,16 +77,38 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC0-1.0", ("CC0",)),
     ("Unlicense", ("Unlicense",)),
 ]
-# Sentences of full licence texts, which the SQL doesn't know. The name of the holder in the third BSD clause is read as x.
+# Sentences of full licence texts as published, which the SQL doesn't know. The name of the holder in the third BSD clause is read as x.
 FULL_TEXTS: dict[str, str] = {
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "MIT-Permission",
     "Neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
     "Neither the name of x nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
     "Neither the name of x nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
     "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-Name",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.': "BSD-Warranty",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT-Warranty",
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.": "MIT-Liability",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC-Permission",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC-Permission",
+    "This software is provided 'as-is', without any express or implied warranty.": "Zlib-Warranty",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "Zlib-Permission",
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:': "BSL-Permission",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-Named",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL21-Later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL3-Later",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "Unlicense-Anyone",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.': "Apache2-Warranty",
+    "See the License for the specific language governing permissions and limitations under the License.": "Apache2-See",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL2-Copy",
 }
 FULL_RULES = [
     ("MIT", ("MIT-Permission",)),
+    ("ISC", ("ISC-Permission",)),
+    ("Zlib", ("Zlib-Permission",)),
+    ("BSL-1.0", ("BSL-Permission",)),
+    ("BSL-1.0", ("BSL-Named",)),
+    ("LGPL-2.1-or-later", ("LGPL21-Later",)),
+    ("AGPL-3.0-or-later", ("AGPL3-Later",)),
+    ("Unlicense", ("Unlicense-Anyone",)),
     ("BSD-3-Clause", ("BSD-Head", "BSD-Source", "BSD-Binary", "BSD-Name")),
 ]
 _BSD2 = next(k for k, (licence, _) in enumerate(RULES) if licence == "BSD-2-Clause")

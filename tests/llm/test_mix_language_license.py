@@ -184,6 +184,12 @@ def test_license_notices_may_be_wrapped(spark):
         (bsd2 + "\n\n" + wrap(name), "BSD-3-Clause", 4),
         (two + "\n" + name, "BSD-3-Clause", 4),
         (bsd2 + "\n\n" + wrap(name) + "\n\n" + bsd2, "BSD-3-Clause,BSD-2-Clause", 7),
+        (wrap(by["MIT-Permission"]) + "\n\n" + wrap(by["MIT-Notice"]) + "\n\n" + wrap(by["MIT-Warranty"] + " " + by["MIT-Liability"]), "MIT", 4),
+        (wrap(by["ISC-Permission"], "// "), "ISC", 1),
+        (wrap(by["Zlib-Warranty"]) + "\n\n" + wrap(by["Zlib-Permission"]), "Zlib", 2),
+        (wrap(by["BSL-Permission"]), "BSL-1.0", 1),
+        (wrap(by["LGPL21-Later"], " * "), "LGPL-2.1-or-later", 3),
+        (wrap(by["AGPL3-Later"], "# "), "AGPL-3.0-or-later", 2),
         ("Released under the\n\nMIT License.", "", 0),
         ("Text\nReleased under the MIT License\nmore", "MIT", 1),
         ("not Released under\nthe MIT License.", "", 0),
