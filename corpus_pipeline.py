@@ -58,6 +58,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written as Parquet and read by the next; rows of the last.
+
+    Null and empty texts, null and repeated ids and an empty table pass as the stages' operators say.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

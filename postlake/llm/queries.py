@@ -18,50 +18,61 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_directed", "n_quoted")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated to the target weights of their sources."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "text", "lang", "n_chars")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents, learned outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs)
     return langid.predict(docs, model).select("doc_id", F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of all documents."""
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
     return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of personal data in all documents."""
     return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
+    """One query per operator, each over its whole table; null, empty and odd rows as in the operator's docstring."""
     return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_best_fit_packing, op4_mixing, op5_simhash, op6_language_id, op7_license_scan, op8_exact_topk, op9_embedding_dedup, op10_pii)}
 
 
