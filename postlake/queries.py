@@ -21,7 +21,7 @@ from .operators.location import location_status
 from .plans import reports, universe
 from .plans.crawl import absent, scan
 from .rules import RuleSet, load_rules, sample_profile, sample_rules
-from .ship import shared_dir
+from .ship import shared_dir, spread
 from .sources import boards, files, pages  # noqa: F401  register the normalizers
 from .sources.base import PAYLOAD, Request, normalizer, within
 from .streaming import events as streams
@@ -99,7 +99,7 @@ CORPUS = {"filters": {"min_match_score": 20, "p1_match_score": 40, "p0_match_sco
 def _scored(docs: DataFrame) -> DataFrame:
     rules = load_rules(CORPUS)
     title, body = F.regexp_extract("text", r"^[^\n]*", 0), F.col("text")
-    docs = docs.withColumn("flags", F.array(*ranking.skill_flags(body, rules)))  # each pattern is matched once
+    docs = spread(docs).withColumn("flags", F.array(*ranking.skill_flags(body, rules)))  # each pattern is matched once
     flags = [F.get("flags", k) for k in range(len(rules.skill_groups))]
     groups = F.array_compact(F.array(*[F.when(f, F.lit(k)) for f, (k, _, _) in zip(flags, rules.skill_groups, strict=True)]))
     return docs.withColumn("title", title).withColumn("title_points", ranking.title_score(title, rules)).withColumn("skill_points", ranking.skill_score(flags, rules)).withColumn("groups", groups)
@@ -152,7 +152,7 @@ def q_job_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(lower(trim(regexp_replace(lang, '\\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '|') AS content_hash FROM documents")
 def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash([F.col("lang"), F.col("source"), F.col("text"), F.lit("")]).alias("content_hash"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.content_hash([F.col("lang"), F.col("source"), F.col("text"), F.lit("")]).alias("content_hash"))
 
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 5")

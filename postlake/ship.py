@@ -1,4 +1,4 @@
-"""What a cluster needs: the folder that all share, and the package on executors that don't have it."""
+"""What a cluster needs: the folder that all share, rows on all cores, and the package on executors that don't have it."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Inputs up to so many bytes are dealt out anew where much work is done on each row.
+SMALL_INPUT = 32 << 20
 _shipped: set[str] = set()
 #: Used only where the session names no shared folder and all of Spark is on this machine (tests).
 LOCAL_DIR = "/tmp/checkpoints"
@@ -29,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input is small: a small file is one task otherwise. No result depends on it, and larger inputs are not shuffled."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's source to this application's Python workers, once.
 
