@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its input is small: a small file is one task otherwise. No result depends on it, and larger inputs are not shuffled."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """df over all cores if its input is a few small files, which are few tasks otherwise. No result depends on it, and larger inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_INPUT and len(df.inputFiles()) < cores else df
 
 
 def ship(spark: SparkSession) -> None:
