@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import shared_dir
+from ..ship import shared_dir, spread
 
+__all__ = ["crc_bucket", "fresh", "materialize", "release", "shared_dir", "shuffle_width", "spread"]
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_bucket, materialize
+from .common import crc_bucket, materialize, spread
 
 #: Training texts per language at most (those with the smallest hash of their id).
 SAMPLE_PER_LANGUAGE = 400
@@ -213,4 +213,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang_pred": lang, "score": score.astype(float)})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return spread(own).mapInPandas(run, "doc_id long, lang_pred string, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from .common import fresh, materialize
+from .common import fresh, materialize, spread
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -278,7 +278,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     threshold. Null and empty texts have no spans; texts of any length are read whole, in linear time; repeated rows give
     repeated results; null ids stay null; an empty table gives no rows; other columns are not read. Votes are counted over all rows.
     """
-    scanned = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), _spans(F.col(text_col).cast("string")).alias("found")), "spans")
+    scanned = materialize(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("doc_id", _spans("text").alias("found")), "spans")
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     ordered = lambda spans: F.transform(
         F.array_sort(F.transform(spans, lambda c: F.struct(rank[c["kind"]].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))),
@@ -315,7 +315,7 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
     """
     columns = docs.columns
     found, take = fresh(columns, "found"), fresh(columns, "take")
-    scanned = materialize(docs.withColumn(found, _spans(F.col(f"`{text_col}`").cast("string"))), "spans")
+    scanned = materialize(spread(docs).withColumn(found, _spans(F.col(f"`{text_col}`").cast("string"))), "spans")
     yes = _classifier(scanned, found, threshold)
     marked = scanned.withColumn(take, _accepted(F.col(found), yes))
     clean = marked.where(F.size(take) == 0).select(*[F.col(f"`{c}`") for c in columns])

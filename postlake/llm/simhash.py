@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width
+from .common import materialize, shuffle_width, spread
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -68,9 +68,8 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number; and rank, a long, if order_col is named."""
     rank = [F.col(order_col).cast("long").alias("rank")] if order_col else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *rank, F.col(text_col).cast("binary").alias("_text")).mapInPandas(
-        _fingerprints, f"doc_id long, {'rank long, ' if rank else ''}fp long"
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *rank, F.col(text_col).cast("binary").alias("_text"))
+    return spread(own).mapInPandas(_fingerprints, f"doc_id long, {'rank long, ' if rank else ''}fp long")
 
 
 def _low(fp: Column) -> Column:

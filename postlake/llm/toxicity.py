@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, materialize
+from .common import crc_bucket, materialize, spread
 
 #: Labelled rows per class that fit() reads at most (those with the smallest hash of their id).
 SAMPLE_PER_CLASS = 4000
@@ -393,4 +393,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rest = [c for c in keep if c != id_col]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *rest, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("_text").schema)
-    return own.mapInPandas(run, f"{kinds}, score double, predicted int, n_directed double, n_quoted double")
+    return spread(own).mapInPandas(run, f"{kinds}, score double, predicted int, n_directed double, n_quoted double")
