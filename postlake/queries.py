@@ -918,11 +918,13 @@ SELECT *, CASE WHEN watermark IS NULL THEN 'new' WHEN posted_at > watermark + IN
 def q_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same classification as a stream with a watermark per key as state, read until the input is used up."""
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    keyed = stream.select(F.concat_ws("|", "user_id", "event_type").alias("job_key"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_id").alias("seq"))
-    streams.to_table(streams.classify(keyed), f"{base}/checkpoint", f"{base}/table")
+    # By a pattern, as a stream's path is a folder otherwise: the table may be one file or a folder of many.
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    keyed = stream.select(F.concat_ws("|", "user_id", "event_type").alias("job_key"), F.col("ts").cast("timestamp").alias("posted_at"))
+    events = streams.classify(keyed)
+    streams.to_table(events, f"{base}/checkpoint", f"{base}/table")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return spark.read.parquet(f"{base}/table").select("job_key", ntz("posted_at"), ntz("watermark"), "event")
+    return spark.read.schema(events.schema).parquet(f"{base}/table").select("job_key", ntz("posted_at"), ntz("watermark"), "event")
 
 
 # --- feeds --------------------------------------------------------------------------------------------------------------------
